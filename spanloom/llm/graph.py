@@ -1,0 +1,41 @@
+"""Connected components by contraction, for links that no single machine holds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least id reachable, for every id in ``edges`` (a, b); an empty graph gives no rows.
+
+    In each round every node hooks onto its least neighbour, the resulting trees are flattened by pointer
+    jumping, and the edges are rewritten to the roots. Each round leaves only edges between roots, so the
+    graph shrinks at least by half. Minima are aggregated before they are shuffled, and a node with very
+    many edges stands on one side of joins only, which Spark splits.
+    """
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    labels = None
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
+        while True:
+            above = parent.select(F.col("id").alias("i_"), F.col("root").alias("r_"))
+            jumped = cut(parent.join(above, F.col("root") == F.col("i_"), "left").select("id", F.coalesce("r_", "root").alias("next"), "root"))
+            stable = jumped.where("next <> root").isEmpty()
+            parent = jumped.select("id", F.col("next").alias("root"))
+            if stable:
+                break
+        labels = cut(parent if labels is None else relabel(labels, parent, "root"))
+        edges = cut(relabel(relabel(edges, parent, "a"), parent, "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if labels is None:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return labels.select("id", F.col("root").alias("component"))
+
+
+def relabel(df: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` replaced by its ``root`` in ``labels`` (id, root), where it has one."""
+    l = labels.select(F.col("id").alias("i_"), F.col("root").alias("r_"))
+    return df.join(l, F.col(column) == F.col("i_"), "left").withColumn(column, F.coalesce("r_", column)).drop("i_", "r_")

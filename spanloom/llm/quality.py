@@ -26,29 +26,29 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Band:
-    """Limits, both included. entropy is in bits a token and holds for texts of at least ``least`` tokens."""
+    """Limits, both included. Ratios swing on few tokens, so all but ``fallback`` hold for texts of at least ``least`` piece tokens; entropy is in bits a token."""
 
     piece_chars: tuple[float, float] = (1.0, 12.0)
     byte_chars: tuple[float, float] = (1.0, 14.0)
     fallback: tuple[float, float] = (0.0, 0.05)
     entropy: tuple[float, float] = (3.0, 20.0)
-    least: int = 64
+    least: int = 160
 
 
 #: Bands by script; a language in LANGUAGES comes first. Scripts that the piece vocabulary spells in bytes have no limit there.
 SCRIPTS: dict[str, Band] = {
-    "latin": Band(piece_chars=(1.45, 12.0), byte_chars=(1.45, 14.0)),
+    "latin": Band(piece_chars=(1.6, 12.0), byte_chars=(1.6, 14.0)),
     "cyrillic": Band(piece_chars=(1.2, 12.0), byte_chars=(0.8, 14.0), fallback=(0.0, 0.1)),
     "greek": Band(piece_chars=(0.8, 12.0), byte_chars=(0.4, 14.0), fallback=(0.0, 0.2)),
     "cjk": Band(piece_chars=(0.25, 4.0), byte_chars=(0.25, 6.0), fallback=(0.0, 0.9)),
     "other": Band(piece_chars=(0.2, 12.0), byte_chars=(0.2, 14.0), fallback=(0.0, 1.0)),
-    "none": Band(piece_chars=(0.0, 0.0), byte_chars=(0.0, 0.0), fallback=(1.0, 1.0)),
+    "none": Band(piece_chars=(12.0, 0.0), least=0),
 }
 LANGUAGES: dict[str, Band] = {
-    "en": Band(piece_chars=(1.6, 12.0), byte_chars=(1.6, 14.0)),
-    "de": Band(piece_chars=(1.5, 12.0), byte_chars=(1.5, 14.0)),
-    "fr": Band(piece_chars=(1.45, 12.0), byte_chars=(1.45, 14.0)),
-    "es": Band(piece_chars=(1.45, 12.0), byte_chars=(1.45, 14.0)),
+    "en": Band(piece_chars=(1.9, 12.0), byte_chars=(1.85, 14.0)),
+    "de": Band(piece_chars=(1.9, 12.0), byte_chars=(1.85, 14.0)),
+    "fr": Band(piece_chars=(1.7, 12.0), byte_chars=(1.7, 14.0)),
+    "es": Band(piece_chars=(1.7, 12.0), byte_chars=(1.7, 14.0)),
 }
 #: First code points and names of the ranges that decide a text's script; letters elsewhere are "other".
 RANGES = [(0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "none"), (0x2C00, "other"), (0x2E80, "cjk"), (0xA4D0, "other"), (0xAC00, "cjk"), (0xD7B0, "other"), (0xF900, "cjk"), (0xFB00, "other"), (0x1F000, "none"), (0x20000, "cjk")]
@@ -127,6 +127,8 @@ def repeated(doc: np.ndarray, codes: np.ndarray, n: int, width: int = 5) -> np.n
         key = (key ^ (codes[i : last + i].astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))) * np.uint64(0xFF51AFD7ED558CCD)
         key ^= key >> np.uint64(32)
     at = np.flatnonzero(doc[:last] == doc[width - 1 :])
+    if not len(at):
+        return np.zeros(n, dtype=np.int64)
     order = at[np.argsort(key[at], kind="stable")]
     same = key[order][1:] == key[order][:-1]
     twice = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
@@ -146,11 +148,10 @@ def judge(lang: str | None, text: str, m: dict) -> tuple[str, bool]:
     band = LANGUAGES.get(name) or SCRIPTS[name]
     if not m["n_pieces"]:
         return name, False
-    return name, (
-        inside(m["word_chars"] / m["n_pieces"], band.piece_chars)
-        and inside(m["word_chars"] / max(1, m["n_bpe"]), band.byte_chars)
-        and inside(m["n_bytes"] / m["n_pieces"], band.fallback)
-        and (m["n_pieces"] < band.least or inside(m["entropy"], band.entropy))
+    if not inside(m["n_bytes"] / m["n_pieces"], band.fallback):
+        return name, False
+    return name, m["n_pieces"] < band.least or (
+        inside(m["word_chars"] / m["n_pieces"], band.piece_chars) and inside(m["word_chars"] / max(1, m["n_bpe"]), band.byte_chars) and inside(m["entropy"], band.entropy)
     )
 
 
