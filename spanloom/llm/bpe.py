@@ -25,7 +25,7 @@ LONG = 256
 NONE = np.iinfo(np.int32).max
 
 
-class PairTable:
+class HashTable:
     """Open addressing with linear probing over uint64 keys."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
@@ -46,9 +46,8 @@ class PairTable:
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The merged id of each pair, or ``NONE``; negative ids are padding and never merge."""
-        keys = (left.astype(np.uint64) << np.uint64(32)) | (right.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, or ``NONE``."""
         slot = self.slot(keys)
         found = self.keys[slot]
         out = np.where(found == keys, self.values[slot], NONE)
@@ -60,6 +59,10 @@ class PairTable:
             open_ = open_[~hit & (self.values[slot[open_]] != NONE)]
         return out
 
+    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merged id of each pair, or ``NONE``; negative ids are padding and never merge."""
+        return self.find((left.astype(np.uint64) << np.uint64(32)) | (right.astype(np.uint64) & np.uint64(0xFFFFFFFF)))
+
 
 class Ranks:
     """A vocabulary of byte strings with ranks, which are also the ids."""
@@ -74,7 +77,7 @@ class Ranks:
         self.bytes_ = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a = np.array(pairs, dtype=np.uint64).reshape(-1, 3)
-        self.pairs = PairTable((a[:, 0] << np.uint64(32)) | a[:, 1], a[:, 2].astype(np.int32))
+        self.pairs = HashTable((a[:, 0] << np.uint64(32)) | a[:, 1], a[:, 2].astype(np.int32))
         spelled = [b""] * size
         for token, rank in self.ranks.items():
             spelled[rank] = token

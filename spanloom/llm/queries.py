@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, quality, sharding, tiff, warc
+from . import bpe, lattice, mixing, neardup, quality, sharding, tiff, warc
 from .common import fresh, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.c FROM r JOIN
 m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)
 """
+
+
+@query
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scores(table(spark, sf_dir, "documents"), PIECES)
