@@ -241,8 +241,9 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return common.map_slices(plain, step, f"id {plain.schema['id'].dataType.simpleString()}, decoded binary", by="weight").toDF(id_col, "decoded")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """For each row of (doc_id, text): encode, decode, and digest both. Null texts count as empty."""
+def digests(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
+    """For each row of (doc_id, text): encode, decode, and digest both; with ``ids`` the ids too. Null texts count as empty."""
+    with_ids = ids
 
     def step(batch: pa.RecordBatch) -> dict:
         ids, ends = encode_texts(common.texts_of(batch), path, pattern)
@@ -253,7 +254,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             "n_tokens": np.diff(ends),
             "ids_sha256": [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)],
             "decoded_sha256": [hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-        }
+        } | ({"ids": pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(ids))} if with_ids else {})
 
     plain = common.pick(docs, "doc_id", "text")
-    return common.map_slices(plain, step, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    more = ", ids array<int>" if with_ids else ""
+    return common.map_slices(plain, step, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

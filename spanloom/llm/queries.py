@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, mixing, neardup, quality, sharding, tiff, warc
+from . import bpe, lattice, linededup, mixing, neardup, quality, sharding, tiff, warc
 from .common import fresh, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,11 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component
 @query
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.scores(table(spark, sf_dir, "documents"), PIECES)
+
+
+@query
+def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_line_chunks"] = linededup.ORACLE
