@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, linededup, mixing, neardup, quality, sharding, tiff, warc
+from . import bpe, lattice, licenses, linededup, mixing, neardup, quality, sharding, tiff, warc
 from .common import fresh, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_line_chunks"] = linededup.ORACLE
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
