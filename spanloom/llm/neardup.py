@@ -125,7 +125,8 @@ def with_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         return {"id": batch.column("doc_id"), "set": [s.tobytes() for s in sets_of(common.texts_of(batch))]}
 
     plain = common.pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    wanted = plain.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    # the ids grow with the corpus, so they are never broadcast, however few they are here
+    wanted = plain.join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     return common.map_slices(wanted, step, "id long, set binary")
 
 
