@@ -6,7 +6,6 @@ Python ``bytes.split()`` of the UTF-8 text, which splits at exactly these six by
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_dir  # noqa: F401
+
 #: Of the text that one step holds as Python objects at a time.
 SLICE_BYTES = 4 << 20
 #: Rows of an Arrow batch, so that a batch of very long texts fits a worker's memory.
@@ -46,28 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, as in tests, a folder of this machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    spark.conf.set("spark.checkpoint.dir", path) if spark.conf.get("spark.checkpoint.dir", None) is None else None
-    return path
-
-
 def fresh(spark: SparkSession, what: str) -> str:
     """A new name in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared folder, so that the loss of an executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """As ``cut``, as a Parquet table: smaller, and columns that are not read cost nothing."""
+    """``df`` computed once and kept in the shared folder as a Parquet table: smaller than a checkpoint, and columns that are not read cost nothing."""
     path = fresh(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -1,11 +1,13 @@
 """Language-model scoring by the likelihood of subword lattices.
 
 The pieces of a public vocabulary, in the order of its scores, span a lattice over every word: its arcs
-are the pieces that spell a part of it, and the bytes of characters that no piece spells. A word's
-probability is the sum over all paths, found by a forward recursion in log space; a text's is the
-product over its words and its end, so it is marginal over all segmentations of the text. The
-vocabulary's scores are ranks: by Zipf's law a piece of rank r has a weight of 1 / (r + 1). These weights
-are then moved towards the training texts by expectation-maximisation, still over the same pieces.
+are the pieces that spell a part of it, and the bytes of characters that no piece spells. The sum over all
+paths is found by a forward recursion in log space; a text's probability is the product over its words
+and its end, so it is marginal over all segmentations of the text. The vocabulary's scores are ranks: by
+Zipf's law a piece of rank r has a weight of 1 / (r + 1). These weights are then moved towards the training
+texts by expectation-maximisation, still over the same pieces. A word that the training texts have is one
+more arc, over the whole lattice: of N tokens, V of them distinct, a token seen c times has c / (N + V), and
+the paths through pieces share the rest, V / (N + V).
 
 Words recur, so each distinct word is looked at once. Counts of all words form a table in the shared
 folder. The most frequent ``HEAD`` words are sent to the workers; a text's other words are joined to the
@@ -34,8 +36,8 @@ ROUNDS, PRIOR = 2, 1000.0
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Characters of the longest word that stands in a matrix with others of its length.
 WIDE = 64
-#: Words of one matrix.
-ROWS = 1 << 14
+#: Words of one matrix, and of the batches that they are sorted out of.
+ROWS, POOL = 1 << 13, 1 << 16
 
 
 class Lattice:
@@ -151,6 +153,19 @@ def text_of(word: bytes) -> str:
     return word.decode("utf-8", "surrogatepass")
 
 
+def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of short batches in batches of ``POOL``, as matrices are slow on few rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= POOL:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, train, every): uses of each word in the rows of (text, held_out) that are not held out, and in all."""
 
@@ -174,7 +189,7 @@ def fit(words: DataFrame, n_ends: int, path: str, rounds: int = ROUNDS) -> np.nd
 
         def run(batches: Iterator[pa.RecordBatch], log_p: np.ndarray = log_p) -> Iterator[pa.RecordBatch]:
             total = None
-            for batch in batches:
+            for batch in pooled(batches):
                 got = lattice(path).expect(batch.column("word").to_pylist(), batch.column("train").to_numpy().astype(float), log_p)
                 total = got if total is None else total + got
             if total is not None:
@@ -210,10 +225,20 @@ def scores(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     log_p = fit(words, ends, path)
     floor = tokens + 0.1 * (distinct + 1)
 
-    def score(batch: pa.RecordBatch) -> dict:
-        return {"word": batch.column("word"), "train": batch.column("train"), "every": batch.column("every"), "lattice": lattice(path).score(batch.column("word").to_pylist(), log_p) / np.log(10)}
+    # words that end at a space or at the end of the text share one distribution with the end itself
+    starts = np.array([t.startswith(SPACE) for t in lattice(path).text])
+    at_end = log_p[-1] - np.logaddexp(np.logaddexp.reduce(log_p[256:-1][starts]), log_p[-1])
+    seen_mass, rest = 1 / max(1, tokens + distinct), np.log(distinct / (tokens + distinct)) if tokens else 0.0
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pooled(batches):
+            train, paths = batch.column("train").to_numpy(), lattice(path).score(batch.column("word").to_pylist(), log_p)
+            with np.errstate(divide="ignore"):
+                total = np.logaddexp(np.log(train * seen_mass), rest + paths) / np.log(10)
+            base = np.log10((train + 0.1) / floor)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(train > 0), batch.column("every"), pa.array(base), pa.array(total)], names=["word", "known", "every", "base", "score"])
 
-    table = common.stored(common.map_slices(words, score, "word string, train long, every long, lattice double", by="word"), "lm-scores")
+    table = common.stored(words.mapInArrow(score, "word string, known boolean, every long, base double, score double"), "lm-scores")
     # how frequent the most frequent words are, of which there may be `head` at most
     steps = table.groupBy(F.ceil(F.log2(F.col("every").cast("double")) * 8).alias("step")).agg(F.count("*").alias("n"), F.max("every").alias("most")).orderBy(F.desc("step")).collect()
     least, room = None, head
@@ -223,32 +248,32 @@ def scores(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
             least = r["most"]
             break
     top = table.where(F.lit(True) if least is None else F.col("every") > least)
-    rows = top.select("word", "train", "lattice").collect()
-    known = spark.sparkContext.broadcast({r["word"].encode("utf-8", "surrogatepass"): (r["train"], r["lattice"]) for r in rows})
-    end_base, end_score = np.log10((ends + 0.1) / floor) if floor else 0.0, log_p[-1] / np.log(10)
+    rows = top.select("word", "known", "base", "score").collect()
+    end_base = float(np.log10((ends + 0.1) / floor))
+    end_score = float(np.logaddexp(np.log(ends * seen_mass), rest + at_end) if ends else rest + at_end) / float(np.log(10))
+    columns = np.array([(r["known"], r["base"], r["score"]) for r in rows], dtype=float).reshape(-1, 3)
+    known = spark.sparkContext.broadcast(({r["word"].encode("utf-8", "surrogatepass"): i for i, r in enumerate(rows)}, columns))
 
     def step(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("row", "doc_id", "held_out", "n_tokens", "word", "n", "n_known", "base", "score")}
         mark = int.from_bytes(os.urandom(16), "little")
-        book, columns = known.value, list(out.values())
+        book, values = known.value
+        get, lists = book.get, list(out.values())
         for i, (doc, text, held_out) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "held_out")), strict=True)):
             found, row = words_of(text), f"{mark:x}.{i}"
-            base, total, seen = end_base, end_score, int(ends > 0)
-            for w, n in Counter(found).items():
-                if (hit := book.get(w)) is not None:
-                    base += n * np.log10((hit[0] + 0.1) / floor)
-                    total += n * hit[1]
-                    seen += n * (hit[0] > 0)
-                else:
-                    for c, v in zip(columns, (row, None, None, None, text_of(w), n, None, None, None), strict=True):
-                        c.append(v)
-            for c, v in zip(columns, (row, doc, held_out, len(found) + 1, None, None, seen, float(base), float(total)), strict=True):
+            at = [get(w, -1) for w in found]
+            seen, base, total = values[[k for k in at if k >= 0]].sum(axis=0)
+            others = Counter(w for w, k in zip(found, at, strict=True) if k < 0)
+            for w, n in others.items():
+                for c, v in zip(lists, (row, None, None, None, text_of(w), n, None, None, None), strict=True):
+                    c.append(v)
+            for c, v in zip(lists, (row, doc, held_out, len(found) + 1, None, None, int(seen) + (ends > 0), float(base) + end_base, float(total) + end_score), strict=True):
                 c.append(v)
         return out
 
     parts = common.stored(common.map_slices(plain, step, f"row string, doc_id {kind}, held_out boolean, n_tokens long, word string, n long, n_known long, base double, score double"), "lm-parts")
-    rare = parts.where("word IS NOT NULL").select("row", "word", "n").join(table.select("word", "train", "lattice"), "word")
-    rare = rare.select("row", F.when(F.col("train") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10((F.col("train") + 0.1) / floor)).alias("base"), (F.col("n") * F.col("lattice")).alias("score"))
+    rare = parts.where("word IS NOT NULL").select("row", "word", "n").join(table.select("word", "known", "base", "score"), "word")
+    rare = rare.select("row", F.when(F.col("known"), F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.col("base")).alias("base"), (F.col("n") * F.col("score")).alias("score"))
     none = {"doc_id": F.lit(None).cast(kind), "held_out": F.lit(None).cast("boolean"), "n_tokens": F.lit(None).cast("long")}
     every = parts.where("word IS NULL").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").unionByName(rare.withColumns(none))
     summed = every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))

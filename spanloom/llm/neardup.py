@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.components import least_members, relabel
 from . import common
 from .common import cut, stored
-from .graph import components, relabel
 
 WIDTH, PERCENT = 5, 75
 POSITIONS, CHUNKS = 48, 12
@@ -204,9 +204,9 @@ def rest(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFr
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     live = stored(shared.withColumn("r", rank).withColumn("m", many).where(F.col("r") <= prefix - (F.col("n") - F.col("m"))).select("id", "shingle"), "neardup-live")
     heads = stored(live.groupBy("shingle").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").select("shingle", "b"), "neardup-heads")
-    groups = components(live.join(heads, "shingle").select(F.col("id").alias("a"), "b"))
-    sized = cut(groups.groupBy(F.col("component").alias("g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    x = close.join(groups.withColumnRenamed("component", "g"), "id").join(sized, "g")
+    groups = least_members(live.join(heads, "shingle").select(F.col("id").alias("a"), "b"))
+    sized = cut(groups.groupBy(F.col("root").alias("g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    x = close.join(groups.withColumnRenamed("root", "g"), "id").join(sized, "g")
     x = x.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x = x.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "set")
@@ -231,10 +231,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stored(ranked.select("key", F.col("id").alias("a")).join(leaders, "key").where("a <> b").select("a", "b").distinct(), "neardup-pairs")
     sets = stored(with_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "neardup-sets")
     links = stored(confirmed(pairs, sets), "neardup-links")
-    labels = cut(components(links).select("id", F.col("component").alias("root")))
-    more = components(cut(rest(members, labels, classes, sets)))
+    labels = least_members(links)
+    more = least_members(cut(rest(members, labels, classes, sets)))
     final = relabel(classes.select("set_id", F.col("id").alias("component")), labels, "component")
-    final = cut(relabel(final, more.select("id", F.col("component").alias("root")), "component").select(F.col("set_id").alias("s_"), F.col("component").alias("c_")))
+    final = cut(relabel(final, more, "component").select(F.col("set_id").alias("s_"), F.col("component").alias("c_")))
     out = sigs.join(final, (F.col("set_id") == F.col("s_")) & (F.col("n_shingles") > 0), "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c_")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

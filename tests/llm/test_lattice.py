@@ -78,7 +78,10 @@ def test_scores(spark, head):
         r = by[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, len(ws) + 1, sum(train[w] > 0 for w in [*ws, None]), n)
         assert r.base_score == pytest.approx(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*ws, None]))
-        assert r.score == pytest.approx((log_p[-1] + sum(model.score(ws, log_p))) / math.log(10))
+        paths = dict(zip(ws, model.score(ws, log_p)))
+        starts = sum(math.exp(x) for x, t in zip(log_p[256:], model.text) if t[0] == lattice.SPACE)
+        paths[None] = log_p[-1] - math.log(starts + math.exp(log_p[-1]))
+        assert r.score == pytest.approx(sum(math.log10(train[w] / (n + v) + v / (n + v) * math.exp(paths[w])) for w in [*ws, None]))
 
 
 def test_empty(spark):

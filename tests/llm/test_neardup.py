@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from spanloom.llm import graph, neardup
+from spanloom.llm import neardup
 
 
 def brute(rows):
@@ -59,21 +59,3 @@ def test_nulls_and_repeats(spark):
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, kept int")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (9, 2, 4, False), (None, 1, None, True), (None, 0, None, True)], key=str)
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_components(spark):
-    rng = random.Random(5)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)]
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        x, y = sorted((find(a), find(b)))
-        root[y] = x
-    got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
-    linked = {x for a, b in edges if a != b for x in (a, b)}
-    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in linked)
