@@ -89,10 +89,11 @@ def _last(idx: DataFrame, x: DataFrame) -> DataFrame:
 
 def scatter(x: DataFrame, idx: DataFrame, n: int) -> DataFrame:
     """An array of ``n`` with ``x[i]`` at ``idx[i]``: the last write wins, untouched places take ``x[0]``; of an empty ``x`` the result is empty."""
-    spark = x.sparkSession
-    first = x.where("i = 0").select(F.col("v").alias("f_"))
-    out = spark.range(n).withColumnRenamed("id", "i").join(F.broadcast(first)).join(_last(idx, x), F.col("i") == F.col("k_"), "left")
-    return out.select("i", F.when(F.col("hit_"), F.col("w_")).otherwise(F.col("f_")).alias("v"))
+    first = x.where("i = 0").select("v").first()
+    if first is None:
+        return x.select("i", "v")
+    out = x.sparkSession.range(n).withColumnRenamed("id", "i").join(_last(idx, x), F.col("i") == F.col("k_"), "left")
+    return out.select("i", F.when(F.col("hit_"), F.col("w_")).otherwise(F.lit(first[0])).alias("v"))
 
 
 def scatter_assign(a: DataFrame, idx: DataFrame, x: DataFrame) -> DataFrame:

@@ -403,7 +403,14 @@ def square_plus_one() -> Term:
 def many(term: Term, gids: DataFrame) -> Diagram:
     """A copy of a small term for each ``gid``."""
     d = Diagram.from_terms(gids.sparkSession, {0: term})
-    spread = lambda df: F.broadcast(df.drop("gid")).crossJoin(gids).select("gid", *[c for c in df.columns if c != "gid"])
+
+    def spread(df: DataFrame) -> DataFrame:
+        rest = [f for f in df.schema if f.name != "gid"]
+        rows = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in rest]) for r in df.collect()]
+        if not rows:
+            return df.limit(0)
+        return gids.select("gid", F.explode(F.array(*rows)).alias("r")).select("gid", "r.*")
+
     return Diagram(*[spread(t) for t in (d.nodes, d.edges, d.incidence, d.interface, d.quotient)])
 
 
