@@ -219,5 +219,11 @@ def filter_unvisited(visited: DataFrame, candidates: DataFrame) -> DataFrame:
     return filter_by_dense(candidates, visited.select("i", (1 - F.col("v")).alias("v")))
 
 
+def all_elements_equal(a: Column, b: Column) -> Column:
+    """Whether all elements of two array columns are the same, null-safe; true if there are none."""
+    both = F.concat(a, b)
+    return F.forall(both, lambda x: x.eqNullSafe(F.element_at(both, 1)))
+
+
 def stack(arrays: list[DataFrame]) -> DataFrame:
     return reduce(concatenate, arrays)

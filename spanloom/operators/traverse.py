@@ -81,11 +81,6 @@ def layers(d: Diagram) -> DataFrame:
     return done.withColumn("stuck", F.lit(False)).unionByName(stuck.withColumn("layer", F.lit(0).cast("long")).withColumn("stuck", F.lit(True)))
 
 
-def _packed(d: Diagram) -> DataFrame:
-    """(gid, edge, label, sources, targets), for work on whole small diagrams."""
-    return d.nested()
-
-
 def _term(rows: pd.DataFrame) -> Term:
     rows = rows.sort_values("edge")
     return Term(edges=list(rows["label"]), adjacency=[(list(s), list(t)) for s, t in zip(rows["sources"], rows["targets"], strict=True)])
@@ -100,7 +95,7 @@ def layers_of_small(d: Diagram) -> DataFrame:
         layer, stuck = _term(rows).layers()
         return pd.DataFrame({"gid": rows["gid"], "edge": list(number), "layer": layer, "stuck": stuck})
 
-    return _packed(d).groupBy("gid").applyInPandas(run, "gid long, edge long, layer long, stuck boolean")
+    return d.nested().groupBy("gid").applyInPandas(run, "gid long, edge long, layer long, stuck boolean")
 
 
 def layered_operations(d: Diagram) -> DataFrame:
@@ -183,8 +178,8 @@ def evaluate(d: Diagram, inputs: DataFrame, apply: Callable[[Column, Column], Co
     order = cut(layers(d))
     if not order.where("stuck").isEmpty():
         return None
-    given = d.interface.where("side = 's'").join(inputs, ["gid", "pos"], "full")
-    if not given.where(F.col("node").isNull() | ~F.col("pos").isin([]) & F.col("value").isNull()).isEmpty():
+    given = d.interface.where("side = 's'").join(inputs.withColumn("given", F.lit(True)), ["gid", "pos"], "full")
+    if not given.where("node IS NULL OR given IS NULL").isEmpty():
         raise ValueError("a value for each source is wanted")
     kind = inputs.schema["value"].dataType
     memory = cut(d.nodes.select("gid", "node").join(given.groupBy("gid", "node").agg(F.max_by("value", "pos").alias("value")), ["gid", "node"], "left").select("gid", "node", F.coalesce("value", default).cast(kind).alias("value")))
@@ -208,7 +203,7 @@ def evaluate_small(d: Diagram, inputs: DataFrame, apply: Callable, default, kind
 
     A diagram with a cycle gives no rows.
     """
-    ops = _packed(d).groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("edge", "label", "sources", "targets"))).alias("ops"))
+    ops = d.nested().groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("edge", "label", "sources", "targets"))).alias("ops"))
     face = d.interface.groupBy("gid").agg(F.sort_array(F.collect_list(F.when(F.col("side") == "s", F.struct("pos", "node")))).alias("s"), F.sort_array(F.collect_list(F.when(F.col("side") == "t", F.struct("pos", "node")))).alias("t"))
     most = d.nodes.groupBy("gid").agg((F.max("node") + 1).alias("n"))
     values = inputs.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("v"))

@@ -235,6 +235,15 @@ class Term:
 
     __or__ = tensor
 
+    def tensor_assign(self, other: Term) -> None:
+        """``tensor`` in place."""
+        s, t = self.append(other)
+        self.sources, self.targets = self.sources + s, self.targets + t
+
+    def coproduct_assign(self, other: Term) -> None:
+        """``coproduct`` in place."""
+        self.append(other)
+
     def lax_compose(self, other: Term) -> Term | None:
         """One after the other, whatever the labels between; None if the numbers of wires differ."""
         if len(self.targets) != len(other.sources):

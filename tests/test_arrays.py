@@ -33,6 +33,12 @@ def test_arrays(spark):
             broken()
 
 
+def test_equal_elements(spark):
+    rows = [(["a"], ["a", "a"], True), ([], ["a", "b"], False), ([], [], True), ([None], [None], True), (["a"], [None], False)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>, e boolean")
+    assert [r[0] for r in df.select(a.all_elements_equal(df["a"], df["b"])).collect()] == [r[2] for r in rows]
+
+
 def test_components(spark):
     q, k = connected_components(a.array(spark, [0, 1, 3]), a.array(spark, [1, 2, 4]), 5)
     assert (a.values(q), k) == ([0, 0, 0, 1, 1], 2)

@@ -81,6 +81,10 @@ def test_category_laws():
         assert same(((f | f) >> (g | g)).strict(), ((f >> g) | (f >> g)).strict())
         assert f.dagger().dagger() == f
         assert (f | Term()) == f == (Term() | f)
+        one, two = f.copy(), f.copy()
+        one.tensor_assign(g)
+        two.coproduct_assign(g)
+        assert one == f | g and two == f + g
     t = Term.twist(["a"], ["b", "c"])
     assert (t.source(), t.target()) == (["a", "b", "c"], ["b", "c", "a"]) and t.nodes == ["b", "c", "a"]
     assert Term.spider([3], [], ["a"]) is None
