@@ -10,8 +10,8 @@ more arc, over the whole lattice: of N tokens, V of them distinct, a token seen
 the paths through pieces share the rest, V / (N + V).
 
 Words recur, so each distinct word is looked at once. Counts of all words form a table in the shared
-folder. The most frequent ``HEAD`` words are sent to the workers; a text's other words are joined to the
-table. What reaches the driver is bounded by the vocabulary and by ``HEAD``.
+folder. The most frequent ``HEAD`` words, if they are not very long, are sent to the workers; a text's other words
+are joined to the table. What reaches the driver is bounded by the vocabulary and by ``HEAD``.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from . import common
 from .bpe import NONE, HashTable
 
 SPACE = "▁"
-#: Most frequent words that every worker holds.
-HEAD = 1 << 18
+#: Most frequent words that every worker holds, and the bytes of the longest of them; together they bound what is broadcast.
+HEAD, HEAD_BYTES = 1 << 18, 64
 ROUNDS, PRIOR = 2, 1000.0
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Characters of the longest word that stands in a matrix with others of its length.
@@ -247,7 +247,7 @@ def scores(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
         if room < 0:
             least = r["most"]
             break
-    top = table.where(F.lit(True) if least is None else F.col("every") > least)
+    top = table.where((F.lit(True) if least is None else F.col("every") > least) & (F.octet_length("word") <= HEAD_BYTES))
     rows = top.select("word", "known", "base", "score").collect()
     end_base = float(np.log10((ends + 0.1) / floor))
     end_score = float(np.logaddexp(np.log(ends * seen_mass), rest + at_end) if ends else rest + at_end) / float(np.log(10))
