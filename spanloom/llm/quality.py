@@ -2,7 +2,8 @@
 
 Public vocabularies measure every text: characters per token of each, the share of byte-fallback tokens
 of the piece vocabulary, and the entropy of its tokens. Each measure has a band for the text's language,
-or else for its script; a text outside a band is rejected. In front of these stand base rules on words,
+or else for its script; a text outside a band is rejected. The lower limits of the languages grow with the
+length of the text, as measures swing on few tokens. In front of these stand base rules on words,
 symbols and repeats. One pass, no statistics of the corpus: a text's verdict depends on it alone.
 
 The words of a slice of texts are coded once; only distinct words are tokenised, as neither vocabulary
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,32 +26,59 @@ from . import bpe, common
 SYMBOLS = b"#*$%&|<>"
 
 
+#: Binary logarithms of the piece tokens at which floors are given.
+AT = (4.5, 5.5, 6.5, 7.5, 8.5, 9.5, 10.5)
+
+
+@dataclass(frozen=True)
+class Floors:
+    """Lower limits at the lengths ``AT``, straight lines between them. Entropy decides only over texts of at most ``typical`` characters a piece, as plain texts of few different words are low in it too."""
+
+    piece_chars: tuple[float, ...]
+    byte_chars: tuple[float, ...]
+    entropy: tuple[float, ...]
+    typical: float
+
+    def hold(self, n: int, piece_chars: float, byte_chars: float, entropy: float) -> bool:
+        at = math.log2(n)
+        low = [float(np.interp(at, AT, x)) for x in (self.piece_chars, self.byte_chars, self.entropy)]
+        # under the first length, no more than its distance from the highest entropy that many tokens can have
+        low[2] -= max(0.0, AT[0] - at)
+        return piece_chars >= low[0] and byte_chars >= low[1] and (entropy >= low[2] or piece_chars > self.typical)
+
+
 @dataclass(frozen=True)
 class Band:
-    """Limits, both included. Ratios swing on few tokens, so all but ``fallback`` hold for texts of at least ``least`` piece tokens; entropy is in bits a token."""
+    """Limits, both included. All but ``fallback`` and ``floors`` hold for texts of at least ``least`` piece tokens; entropy is in bits a token."""
 
     piece_chars: tuple[float, float] = (1.0, 12.0)
     byte_chars: tuple[float, float] = (1.0, 14.0)
     fallback: tuple[float, float] = (0.0, 0.05)
     entropy: tuple[float, float] = (3.0, 20.0)
     least: int = 160
+    floors: Floors | None = None
 
 
-#: Bands by script; a language in LANGUAGES comes first. Scripts that the piece vocabulary spells in bytes have no limit there.
+#: Floors from the texts of even doc_id of sf0.1 that ``labels`` calls good and the base rules keep (1628): their 0.25th percentile in each octave of
+#: piece tokens, over all languages where one has under 30 texts; ratios are at most those of longer texts. ``typical`` is the median.
+FLOORS: dict[str, Floors] = {
+    "en": Floors((1.358, 1.358, 1.493, 1.902, 2.043, 2.099, 2.148), (1.666, 1.666, 1.886, 2.007, 2.11, 2.132, 2.179), (3.78, 4.455, 4.96, 5.715, 6.041, 6.378, 6.647), 2.219),
+    "de": Floors((1.309, 1.309, 1.309, 1.793, 2.078, 2.147, 2.185), (1.637, 1.637, 1.637, 1.887, 2.208, 2.229, 2.242), (3.78, 4.455, 4.939, 5.691, 6.015, 6.304, 6.459), 2.244),
+    "fr": Floors((1.309, 1.309, 1.309, 1.747, 1.747, 1.878, 1.946), (1.637, 1.637, 1.637, 1.887, 1.895, 1.933, 2.003), (3.78, 4.455, 4.939, 5.691, 6.019, 6.178, 6.424), 1.978),
+    "es": Floors((1.309, 1.309, 1.309, 1.793, 1.801, 1.863, 1.888), (1.637, 1.637, 1.637, 1.887, 1.93, 1.996, 2.002), (3.78, 4.455, 4.939, 5.691, 6.05, 6.208, 6.504), 1.941),
+}
+#: For other languages in Latin script the lowest of these.
+LOWEST = Floors(*(tuple(map(min, zip(*(getattr(f, k) for f in FLOORS.values()), strict=True))) for k in ("piece_chars", "byte_chars", "entropy")), min(f.typical for f in FLOORS.values()))
+#: Bands by script; a language in LANGUAGES comes first. Scripts that the piece vocabulary spells in bytes have no limit there; no labelled texts are in scripts other than Latin.
 SCRIPTS: dict[str, Band] = {
-    "latin": Band(piece_chars=(1.6, 12.0), byte_chars=(1.6, 14.0)),
+    "latin": Band(floors=LOWEST),
     "cyrillic": Band(piece_chars=(1.2, 12.0), byte_chars=(0.8, 14.0), fallback=(0.0, 0.1)),
     "greek": Band(piece_chars=(0.8, 12.0), byte_chars=(0.4, 14.0), fallback=(0.0, 0.2)),
     "cjk": Band(piece_chars=(0.25, 4.0), byte_chars=(0.25, 6.0), fallback=(0.0, 0.9)),
     "other": Band(piece_chars=(0.2, 12.0), byte_chars=(0.2, 14.0), fallback=(0.0, 1.0)),
     "none": Band(piece_chars=(12.0, 0.0), least=0),
 }
-LANGUAGES: dict[str, Band] = {
-    "en": Band(piece_chars=(1.9, 12.0), byte_chars=(1.85, 14.0)),
-    "de": Band(piece_chars=(1.9, 12.0), byte_chars=(1.85, 14.0)),
-    "fr": Band(piece_chars=(1.7, 12.0), byte_chars=(1.7, 14.0)),
-    "es": Band(piece_chars=(1.7, 12.0), byte_chars=(1.7, 14.0)),
-}
+LANGUAGES: dict[str, Band] = {name: Band(floors=floors) for name, floors in FLOORS.items()}
 #: First code points and names of the ranges that decide a text's script; letters elsewhere are "other".
 RANGES = [(0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "none"), (0x2C00, "other"), (0x2E80, "cjk"), (0xA4D0, "other"), (0xAC00, "cjk"), (0xD7B0, "other"), (0xF900, "cjk"), (0xFB00, "other"), (0x1F000, "none"), (0x20000, "cjk")]
 
@@ -150,9 +179,10 @@ def judge(lang: str | None, text: str, m: dict) -> tuple[str, bool]:
         return name, False
     if not inside(m["n_bytes"] / m["n_pieces"], band.fallback):
         return name, False
-    return name, m["n_pieces"] < band.least or (
-        inside(m["word_chars"] / m["n_pieces"], band.piece_chars) and inside(m["word_chars"] / max(1, m["n_bpe"]), band.byte_chars) and inside(m["entropy"], band.entropy)
-    )
+    piece_chars, byte_chars = m["word_chars"] / m["n_pieces"], m["word_chars"] / max(1, m["n_bpe"])
+    if band.floors and not band.floors.hold(m["n_pieces"], piece_chars, byte_chars, m["entropy"]):
+        return name, False
+    return name, m["n_pieces"] < band.least or (inside(piece_chars, band.piece_chars) and inside(byte_chars, band.byte_chars) and inside(m["entropy"], band.entropy))
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, band string, piece_chars double, byte_chars double, fallback double, entropy double"

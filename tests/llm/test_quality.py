@@ -61,3 +61,27 @@ def test_rules(spark):
 
 def test_script():
     assert [quality.script(t) for t in ("abc é", "привет мир", "123 !?", "日本語 ab", "αβγ", "שלום")] == ["latin", "cyrillic", "none", "cjk", "greek", "other"]
+
+
+def test_fragments_go_and_clean_texts_stay():
+    """On texts that the floors are not taken from: odd doc_ids of sf0.1."""
+    import pyarrow.parquet as pq
+
+    good = {r["doc_id"]: r["quality"] for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist()}
+    docs = [r for r in pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pylist() if r["doc_id"] % 2 and r["text"]]
+    clean, junk = [r for r in docs if good.get(r["doc_id"]) == 1][:600], [r for r in docs if r["text"].count(" | ") >= 5]
+
+    def kept(rows):
+        m = quality.measure([r["text"] for r in rows], *PATHS)
+        return sum(quality.judge(r["lang"], r["text"], {k: v[i] for k, v in m.items()})[1] for i, r in enumerate(rows))
+
+    assert len(junk) > 100 and kept(junk) < 0.05 * len(junk)
+    assert kept(clean) > 0.98 * len(clean)
+
+
+def test_short_texts_are_judged():
+    text = "Thndou | erhaha | eaernd | ertible | erheble | eronin | eredble | aninou | shingou | thinor | bleing, | shnttion | reennt. | totheaoued | erenha, | ndinat. | oninan | estion. | ofreshshes | inghalyea | onstesre | erndnd"
+    few = "the cat sat on the mat and the dog sat by the door"
+    m = quality.measure([text, few], *PATHS)
+    assert m["n_pieces"][0] < 160
+    assert [quality.judge("en", t, {k: v[i] for k, v in m.items()})[1] for i, t in enumerate([text, few])] == [False, True]
