@@ -5,13 +5,18 @@ is compressed alone and with each template as zstandard raw dictionary; the temp
 bytes that the dictionary saves. The best are then compared with the block word by word: a template is
 confirmed if the block has its telling words, none that would make it another license, and few other
 differences.
+
+Notices wrapped over lines are looked for in the paragraphs around such words, joined over line breaks
+and without the marks of comments: of each template that has its telling words there, the part that the
+template's wording spans is a block.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -53,12 +58,18 @@ TEMPLATES: list[tuple[str, str, str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain", ""),
     ("all-rights-reserved", "All rights reserved.", "all rights reserved", "licensed"),
 ]
-#: Words of which a candidate sentence has one.
-ANCHOR = r"(?i)licen[cs]|copyright|rights reserved|public domain|creative commons|hereby granted|redistribut|unencumbered|mozilla public|\bcc0\b"
+#: Words of which a candidate sentence has one; a line break, and a mark of comments after it, may stand in them.
+ANCHOR = r"(?i)licen[cs]|copyright|rights reserved|public domain|creative commons|hereby granted|redistribut|unencumbered|mozilla public|\bcc0\b".replace(" ", r"\s+(?:[#*/;%!-]+\s+)?")
 LEVEL, BEST, LEAST_SAVED, MOST_MISSING, MOST_EXTRA = 6, 3, 4, 0.5, 0.6
 
 _ANCHOR, _SENTENCE = re.compile(ANCHOR), re.compile(r"[^\n]+?(?:(?<!\bv)[.!?](?=\s)|$|(?=\n))", re.M)
 _TOKEN = re.compile(r"\d+(?:\.\d+)+|\w+")
+#: White space and what opens lines of comments; a line of nothing else is blank.
+MARKS = " \t\r\n#*/;%!-"
+_BLANK, _BREAK = re.compile(r"\n(?:[ \t\r#*/;%!-]*\n)+"), re.compile(r"[ \t\r]*\n[ \t\r\n#*/;%!-]*")
+#: Words of a template that may have many others between; words that a wrapped notice can have, as no more than MOST_EXTRA of them are others.
+LONG_TEMPLATE = 20
+REACH = int(max(len(_TOKEN.findall(wording)) for _, wording, _, _ in TEMPLATES) / (1 - MOST_EXTRA)) + 1
 
 
 @dataclass(frozen=True)
@@ -139,8 +150,116 @@ def identify(block: str) -> tuple[str, int, float, list[str], list[str], bool]:
     return first or ("unknown", max(saved), max(saved) / alone, [], words, False)
 
 
+def regions(text: str) -> list[list[re.Match]]:
+    """Words of the neighbourhoods of anchors over line breaks: of adjoining paragraphs that each have an anchor, the words within ``REACH`` of one."""
+    out: list[list[re.Match]] = []
+    runs: list[tuple[int, int]] = []
+    at = 0
+    for gap in [*_BLANK.finditer(text), None]:
+        end = gap.start() if gap else len(text)
+        if _ANCHOR.search(text, at, end):
+            if runs and not text[runs[-1][1] : at].strip(MARKS):
+                runs[-1] = (runs[-1][0], end)
+            else:
+                runs.append((at, end))
+        at = gap.end() if gap else end
+    for a, b in runs:
+        words = list(_TOKEN.finditer(text, a, b))
+        starts = [w.start() for w in words]
+        spans: list[list[int]] = []
+        for m in _ANCHOR.finditer(text, a, b):
+            i = bisect.bisect_right(starts, m.start())
+            low, high = max(0, i - REACH), min(len(words), i + REACH)
+            if spans and low <= spans[-1][1]:
+                spans[-1][1] = high
+            else:
+                spans.append([low, high])
+        out += [words[low:high] for low, high in spans if "\n" in text[starts[low] if low < len(starts) else b : b]]
+    return out
+
+
+def wrapped(text: str, words: list[re.Match]) -> list[tuple[Finding, int]]:
+    """Confirmed notices within ``words`` that go over a line break, with the number of template words they have: the largest first, then what stands before and after it."""
+    if len(words) < 3 or "\n" not in text[words[0].start() : words[-1].end()]:
+        return []
+    low = [w.group().lower() for w in words]
+    have, best = set(low), None
+    for i, (name, wording, telling, others) in enumerate(TEMPLATES):
+        if not have.issuperset(telling.split()):
+            continue
+        template = tokens(wording)
+        most = lambda n: MOST_EXTRA * n if len(template) >= LONG_TEMPLATE else 2
+        hits = [m for m in SequenceMatcher(None, template, low, autojunk=False).get_matching_blocks() if m.size]
+        # from the longest piece of the wording to both sides, as long as there are few other words between
+        core = max(range(len(hits)), key=lambda k: hits[k].size)
+        first, last, matched = hits[core].b, hits[core].b + hits[core].size, hits[core].size
+        for m in hits[core + 1 :]:
+            if (m.b + m.size - first) - (matched + m.size) > most(m.b + m.size - first):
+                break
+            last, matched = m.b + m.size, matched + m.size
+        for m in reversed(hits[:core]):
+            if (last - m.b) - (matched + m.size) > most(last - m.b):
+                break
+            first, matched = m.b, matched + m.size
+        part = low[first:last]
+        start, end = words[first].start(), words[last - 1].end()
+        if "\n" not in text[start:end] or not _ANCHOR.search(text, start, end):
+            continue
+        missing, extra = differences(part, template)
+        if not set(part).issuperset(telling.split()) or set(part) & set(others.split()) or len(missing) > MOST_MISSING * len(template) or len(extra) > most(len(part)):
+            continue
+        raw = _BREAK.sub(" ", text[start:end]).encode("utf-8", "surrogatepass")
+        plain, with_template = compressors()[0], compressors()[1 + i]
+        alone = len(plain.compress(raw))
+        saved = alone - len(with_template.compress(raw))
+        score = (len(part) - len(extra), -len(missing))
+        if saved >= LEAST_SAVED and (best is None or score > best[0]):
+            if text[end : end + 1] in (".", ")"):
+                end += 1
+            best = (score, first, last, Finding(start, end, name, saved, saved / alone, tuple(missing), tuple(extra), True))
+    if best is None:
+        return []
+    (matched, _), first, last, found = best
+    return [(found, matched), *wrapped(text, words[:first]), *wrapped(text, words[last:])]
+
+
+def notices(text: str) -> list[tuple[Finding, int]]:
+    """What ``wrapped`` finds in all neighbourhoods of anchors; long ones go in overlapping pieces, each for the notices that begin in its first two thirds."""
+    out = []
+    for words in regions(text):
+        at = 0
+        while at < len(words):
+            after = words[at + 2 * REACH].start() if at + 2 * REACH < len(words) else len(text)
+            found = [x for x in wrapped(text, words[at : at + 3 * REACH]) if x[0].start < after]
+            out += found
+            end = max((f.end for f, _ in found), default=0)
+            at += 2 * REACH
+            while at < len(words) and words[at].start() < end:
+                at += 1
+    return out
+
+
 def findings(text: str) -> list[Finding]:
-    """One for each candidate block; a block is taken apart into its sentences if these are confirmed as several licenses, or the whole is not confirmed."""
+    """One for each candidate block. A wrapped notice takes the place of blocks of lines that overlap it, unless one of these is confirmed with as many words of its template."""
+    waiting, out = in_lines(text)[::-1], []
+    for found, matched in sorted(notices(text), key=lambda x: x[0].start):
+        while waiting and waiting[-1].end <= found.start:
+            out.append(waiting.pop())
+        over = []
+        while waiting and waiting[-1].start < found.end:
+            over.append(waiting.pop())
+        if any(f.confirmed and len(tokens(text[f.start : f.end])) - len(f.extra) >= matched for f in over):
+            waiting += over[::-1]
+            continue
+        ends = [(f.start, found.start) for f in over if f.start < found.start] + [(found.end, f.end) for f in over if found.end < f.end]
+        rest = [replace(x, start=x.start + a, end=x.end + a) for a, b in ends for x in in_lines(text[a:b])]
+        out += [x for x in rest if x.start < found.start] + [found]
+        waiting += [x for x in rest if x.start > found.start][::-1]
+    return out + waiting[::-1]
+
+
+def in_lines(text: str) -> list[Finding]:
+    """One for each block of sentences within lines; a block is taken apart into its sentences if these are confirmed as several licenses, or the whole is not confirmed."""
     out = []
     for a, b in blocks(text):
         whole = identify(text[a:b])

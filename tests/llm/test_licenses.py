@@ -41,3 +41,86 @@ def test_frames(spark):
     got = sorted(((r.doc_id, r.license, r.confirmed) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, block int")).collect()), key=str)
     assert got == sorted([(1, "all-rights-reserved", True), (1, "all-rights-reserved", True), (None, "MIT", True), (4, "MIT", True)], key=str)
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+MIT = """MIT License
+
+Copyright (c) 2019 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_2 = """Copyright (c) 2019, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = (
+    BSD_2
+    + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+)
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+ISC = """Copyright 2019 Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_wrapped_notices():
+    for name, text in (("MIT", MIT), ("BSD-2-Clause", BSD_2 + BSD_END), ("BSD-3-Clause", BSD_3 + BSD_END), ("ISC", ISC), ("GPL-2.0-or-later", GPL), ("GPL-3.0-or-later", GPL.replace("version 2", "version 3"))):
+        for mark in ("", "# ", " * ", "// "):
+            notice = "".join(mark + line for line in text.splitlines(True))
+            for whole in (notice, "Some prose stands here.\n\n" + notice + "\n\nint main() { return 0; }\n"):
+                found = [f for f in licenses.findings(whole) if f.confirmed]
+                assert {f.license for f in found} - {"all-rights-reserved"} == {name}, (name, mark, found)
+                assert max(f.end - f.start for f in found) > 130  # more than any line
+
+
+def test_wrapped_short_notices():
+    text = "It is\nlong ago. Released under the\nMIT License. And more of\nthe same."
+    (found,) = licenses.findings(text)
+    assert (found.license, found.confirmed, text[found.start : found.end]) == ("MIT", True, "Released under the\nMIT License.")
+    assert [f.license for f in licenses.findings("// All rights\n// reserved.") if f.confirmed] == ["all-rights-reserved"]
+    assert not [f for f in licenses.findings("The license was\nseen by all the driver's\nrights and it reserved\nthe seats of the public\ndomain") if f.confirmed]
+
+
+def test_many_wrapped_notices():
+    text = (MIT + "\nint f();\n\n" + ISC + "\nint g();\n\n") * 20
+    found = [f.license for f in licenses.findings(text) if f.confirmed]
+    assert found == ["MIT", "ISC"] * 20
