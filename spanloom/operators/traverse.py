@@ -52,9 +52,10 @@ def kahn(vertices: DataFrame, adjacency: DataFrame) -> DataFrame:
 
     A vertex on a cycle or behind one is ``stuck``, with layer 0.
     """
-    counts = adjacency.groupBy("gid", F.col("dst").alias("v")).agg(F.count("*").alias("n"))
+    adjacency = cut(adjacency.groupBy("gid", "src", "dst").agg(F.count("*").alias("n")))
+    counts = adjacency.groupBy("gid", F.col("dst").alias("v")).agg(F.sum("n").alias("n"))
     need = vertices.join(counts, ["gid", "v"], "left").select("gid", "v", F.coalesce("n", F.lit(0)).alias("need"))
-    done, stuck = _rounds(need, lambda f: adjacency.join(f.withColumnRenamed("v", "src"), ["gid", "src"]).groupBy("gid", F.col("dst").alias("v")).agg(F.count("*").alias("less")), "v")
+    done, stuck = _rounds(need, lambda f: adjacency.join(f.withColumnRenamed("v", "src"), ["gid", "src"]).groupBy("gid", F.col("dst").alias("v")).agg(F.sum("n").alias("less")), "v")
     return done.withColumn("stuck", F.lit(False)).unionByName(stuck.withColumn("layer", F.lit(0).cast("long")).withColumn("stuck", F.lit(True)))
 
 

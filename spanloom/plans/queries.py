@@ -107,6 +107,13 @@ def kahn_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.kahn(d.nodes.select("gid", F.col("node").alias("v")), traverse.node_adjacency(d)).drop("gid")
 
 
+@query()
+def kahn_nodes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``kahn_nodes``, over the full trade diagram: lines wait for an order, a part and a supplier."""
+    d = fixtures.trade(spark, sf_dir)
+    return traverse.kahn(d.nodes.select("gid", F.col("node").alias("v")), traverse.node_adjacency(d)).drop("gid")
+
+
 @query(TRADE + "SELECT a.edge AS src, b.edge AS dst, count(*) AS n FROM inc a JOIN inc b ON a.node = b.node AND a.side = 't' AND b.side = 's' GROUP BY 1, 2")
 def op_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.op_adjacency(fixtures.trade(spark, sf_dir)).groupBy("src", "dst").agg(F.count("*").alias("n"))
