@@ -240,6 +240,11 @@ def transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FiniteFunction.transpose(spark, 3, table(spark, sf_dir, "customer").count()).table
 
 
+def spread(spark: SparkSession, n: int, factor: int = 7, shift: int = 0) -> FiniteFunction:
+    """i to (i * factor + shift) % n on all of 0 to n - 1: a permutation, unless ``factor`` divides n."""
+    return FiniteFunction(spark.range(n).select(F.col("id").alias("i"), ((F.col("id") * factor + shift) % n).alias("v")), n, n)
+
+
 @query(SIZES + ", f AS (SELECT i, CAST(coalesce(sum(v) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a, v AS n FROM s), x AS (SELECT y.i, f.a, unnest(range(f.n)) AS p FROM (SELECT range AS i, (range * 5 + 1) % 100 AS k FROM range(200)) y JOIN f ON f.i = y.k) SELECT row_number() OVER (ORDER BY i, p) - 1 AS i, a + p AS v FROM x")
 def injections(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sizes_of_orders(spark, sf_dir)
@@ -248,6 +253,14 @@ def injections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.injections(FiniteFunction(picks, 200, sizes.source)).table
 
 
+@query()
+def injections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``injections``, with every order picked."""
+    s = sizes_of_orders(spark, sf_dir)
+    sizes = FiniteFunction(s, s.count(), 0)
+    return sizes.injections(spread(spark, sizes.source, 5, 1)).table
+
+
 # Ragged relations
 
 
@@ -265,6 +278,13 @@ def flatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.flatmap(r.converse()).table
 
 
+@query()
+def flatmap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that share a part, for every order."""
+    r = parts_of_orders(spark, sf_dir)
+    return r.flatmap(r.converse()).table
+
+
 @query(PARTS + "SELECT i AS seg, pos, v FROM x JOIN (SELECT range AS i, (range * 3) % 500 AS k FROM range(1000)) y ON x.seg = y.k")
 def map_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = parts_of_orders(spark, sf_dir)
@@ -272,6 +292,13 @@ def map_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.map_indexes(FiniteFunction(f, 1000, r.n)).table
 
 
+@query()
+def map_indexes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``map_indexes``, over all orders."""
+    r = parts_of_orders(spark, sf_dir)
+    return r.map_indexes(spread(spark, r.n)).table
+
+
 @query(PARTS + ", k AS (SELECT o_custkey AS seg, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS g FROM orders), y AS (SELECT k.seg, k.p, x.pos AS q, x.v FROM k JOIN x ON x.seg = k.g) SELECT seg, row_number() OVER (PARTITION BY seg ORDER BY p, q) - 1 AS pos, v FROM y")
 def flatmap_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many orders as each customer has, one after another, run together."""
@@ -297,6 +324,14 @@ def relative_indegree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.join(counts.withColumnRenamed("v", "n"), "i").select("v", "n")
 
 
+@query()
+def relative_indegree_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``relative_indegree``, over all orders."""
+    r = parts_of_orders(spark, sf_dir)
+    keys, counts = r.sparse_relative_indegree(spread(spark, r.n))
+    return keys.join(counts.withColumnRenamed("v", "n"), "i").select("v", "n")
+
+
 # Components and quotients
 
 BLOCKS = "WITH e AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS node FROM events), b AS (SELECT node, user_id, min(node) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS first FROM e)\n"
@@ -320,6 +355,17 @@ def components_of_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.least_members(a.unionByName(b))
 
 
+PLACE = 10**15
+
+
+@query()
+def components_of_places_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``components_of_places``, over all customers and nations, whose ids stay apart at any number of customers."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("a"), (F.col("c_nationkey").cast("long") + PLACE).alias("b"))
+    b = table(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("long") + PLACE).alias("a"), (F.col("n_regionkey").cast("long") + 2 * PLACE).alias("b"))
+    return components.least_members(a.unionByName(b))
+
+
 # Combination: chains of users, diagram by diagram
 
 PATHS = "WITH e AS (SELECT user_id AS gid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS edge, event_type AS label FROM events), n AS (SELECT gid, count(*) AS n FROM e GROUP BY 1)\n"

@@ -1,5 +1,8 @@
 """Queries over all rows, which have no SQL, against plain Python over sf0.001."""
 
+import itertools
+from collections import Counter
+
 import pyarrow.parquet as pq
 
 from spanloom.plans import queries
@@ -23,3 +26,52 @@ def test_kahn_nodes_whole(spark):
     lines = len(rows("lineitem", "l_orderkey"))
     assert lines > 5000
     assert run(spark, "kahn_nodes_whole") == sorted(expected + [(i * 10 + 6, 4, False) for i in range(lines)])
+
+
+def parts_of_orders():
+    """For each order, by key, the parts of its lines, in their order."""
+    place = {k: i for i, (k,) in enumerate(sorted(rows("orders", "o_orderkey")))}
+    out = [[] for _ in place]
+    columns = [*LINE_ORDER, *(c for c in ("l_orderkey", "l_partkey") if c not in LINE_ORDER)]
+    for r in sorted(rows("lineitem", *columns)):
+        r = dict(zip(columns, r, strict=True))
+        if r["l_orderkey"] in place:
+            out[place[r["l_orderkey"]]].append(r["l_partkey"])
+    return out
+
+
+def listed(lists):
+    return sorted((seg, pos, v) for seg, x in enumerate(lists) for pos, v in enumerate(x))
+
+
+def test_ragged_queries_whole(spark):
+    parts = parts_of_orders()
+    n = len(parts)
+    assert n > 1000
+    orders = {}
+    for seg, x in enumerate(parts):
+        for v in x:
+            orders.setdefault(v, []).append(seg)
+    assert run(spark, "flatmap_whole") == listed([[o for v in x for o in orders[v]] for x in parts])
+    assert run(spark, "map_indexes_whole") == listed([parts[i * 7 % n] for i in range(n)])
+    counts = Counter(v for i in range(n) for v in parts[i * 7 % n])
+    assert run(spark, "relative_indegree_whole") == sorted(counts.items())
+
+
+def test_injections_whole(spark):
+    sizes = [len(x) for x in parts_of_orders()]
+    starts = [0, *itertools.accumulate(sizes)]
+    picks = [(i * 5 + 1) % len(sizes) for i in range(len(sizes))]
+    assert run(spark, "injections_whole") == list(enumerate(starts[k] + p for k in picks for p in range(sizes[k])))
+
+
+def test_components_of_places_whole(spark):
+    joined = {n + queries.PLACE: r + 2 * queries.PLACE for n, r in rows("nation", "n_nationkey", "n_regionkey")}
+    groups = {}
+    for region in joined.values():
+        groups.setdefault(region, {region})
+    for nation, region in joined.items():
+        groups[region].add(nation)
+    for c, nation in rows("customer", "c_custkey", "c_nationkey"):
+        groups[joined[nation + queries.PLACE]].add(c)
+    assert run(spark, "components_of_places_whole") == sorted((i, min(g)) for g in groups.values() for i in g)
