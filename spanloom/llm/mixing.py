@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCKS, SHARDS, CAP, SEED = 1024, 16, 3, 20240229
+#: Parts of a shard, a power of 2.
+PARTS = 64
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP) -> DataFrame:
@@ -120,6 +122,17 @@ def taken(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: ``columns`` of each document as often as it is taken, with its ``shard`` and a place in the shuffled shard, ``shuffle_key``."""
+    """The mix itself: ``columns`` of each document as often as it is taken, with its ``shard`` and a place in the shuffled shard, ``shuffle_key``.
+
+    Rows come shuffled: a shard lies in ``PARTS`` parts by the first bits of ``shuffle_key``, each in one
+    partition and sorted by the key there, so that no task holds a whole shard.
+    """
     d = draws(docs, keep=tuple(columns)).select("key", F.posexplode("shards").alias("turn", "shard"), *[F.col(f"keep{i}_").alias(f"out{i}_") for i in range(len(columns))])
-    return d.select(*[F.col(f"out{i}_").alias(c) for i, c in enumerate(columns)], "shard", F.xxhash64("shard", "turn", "key").alias("shuffle_key"))
+    d = d.withColumn("order_", F.xxhash64("shard", "turn", "key")).withColumn("part_", part_of(F.col("order_")))
+    d = d.repartition("shard", "part_").sortWithinPartitions("shard", "part_", "order_")
+    return d.select(*[F.col(f"out{i}_").alias(c) for i, c in enumerate(columns)], "shard", F.col("order_").alias("shuffle_key"))
+
+
+def part_of(shuffle_key: Column) -> Column:
+    """The part of a shard that a row lies in."""
+    return F.shiftrightunsigned(shuffle_key, 65 - PARTS.bit_length()).cast("int")

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import mixing
 
@@ -82,3 +83,20 @@ def test_mix(spark):
         seen[r.doc_id] += 1
         assert (r.doc_id, r.text, r.source) == (rows[r.doc_id][0], rows[r.doc_id][1], rows[r.doc_id][2])
     assert all(n is None or seen[i] == n for i, n in times.items())
+
+
+def test_mix_comes_shuffled(spark):
+    rows = [(i, f"text {i} of a few words", f"s{i % 3}") for i in range(3000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id", "source"])
+    placed = out.select("doc_id", "source", "shard", "shuffle_key", mixing.part_of(F.col("shuffle_key")).alias("part"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"))
+    got = sorted(placed.collect(), key=lambda r: r["at"])
+    tasks = {}
+    for r in got:
+        tasks.setdefault((r["shard"], r["part"]), set()).add(r["task"])
+    assert all(len(t) == 1 for t in tasks.values()) and {p for _, p in tasks} == set(range(mixing.PARTS))
+    units = [(r["shard"], r["part"]) for r in got]
+    assert sum(a != b for a, b in zip(units, units[1:])) == len(tasks) - 1
+    assert all(a["shuffle_key"] <= b["shuffle_key"] for a, b in zip(got, got[1:]) if (a["shard"], a["part"]) == (b["shard"], b["part"]))
+    beside = sum(a["source"] == b["source"] for a, b in zip(got, got[1:])) / len(got)
+    shares = [sum(r["source"] == s for r in got) / len(got) for s in ("s0", "s1", "s2")]
+    assert abs(beside - sum(x * x for x in shares)) < 0.06
