@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lineage import indexed, prefix_sum
+from .lineage import indexed, prefix_sum, unfolded
 
 
 def array(spark: SparkSession, values: list, kind: str = "bigint") -> DataFrame:
@@ -140,17 +140,16 @@ def mul_constant_add(a: DataFrame, c: int, x: DataFrame) -> DataFrame:
 
 
 def repeat(k: DataFrame, x: DataFrame) -> DataFrame:
-    """``x[i]`` ``k[i]`` times, in order."""
+    """``x[i]`` ``k[i]`` times, in order. A count may be as large as the whole result."""
     both = pointwise(k, x, lambda n, v: F.struct(n.alias("n"), v.alias("x")))
-    long = both.select("i", F.posexplode(F.array_repeat(F.col("v.x"), F.col("v.n").cast("int"))).alias("p_", "v"))
-    starts = prefix_sum(k, F.col("v"), ["i"], "s_").select("i", "s_")
-    return long.join(starts, "i").select((F.col("s_") + F.col("p_")).alias("i"), "v")
+    starts = prefix_sum(both, F.col("v.n"), ["i"], "s_")
+    return unfolded(starts, F.col("v.n")).select((F.col("s_") + F.col("p_")).alias("i"), F.col("v.x").alias("v"))
 
 
 def segmented_arange(sizes: DataFrame) -> DataFrame:
     """``0 .. n - 1`` for each size ``n``, one after another."""
     starts = prefix_sum(sizes, F.col("v"), ["i"], "s_")
-    return starts.select("s_", F.posexplode(F.array_repeat(F.lit(0), F.col("v").cast("int"))).alias("p_", "z_")).select((F.col("s_") + F.col("p_")).alias("i"), F.col("p_").cast("long").alias("v"))
+    return unfolded(starts, F.col("v")).select((F.col("s_") + F.col("p_")).alias("i"), F.col("p_").alias("v"))
 
 
 def cumulative_sum(a: DataFrame) -> DataFrame:
@@ -161,11 +160,19 @@ def cumulative_sum(a: DataFrame) -> DataFrame:
 
 
 def segmented_sum(sizes: DataFrame, x: DataFrame) -> DataFrame:
-    """The sum of each segment of ``x``, of which ``sizes`` gives the lengths; of an empty one 0."""
+    """The sum of each segment of ``x``, of which ``sizes`` gives the lengths; of an empty one 0.
+
+    The sums of all that stands before each segment's end and its start are subtracted, so a segment of any
+    length costs two rows.
+    """
     starts = prefix_sum(sizes, F.col("v"), ["i"], "s_")
-    owner = starts.select(F.col("i").alias("seg_"), "s_", F.posexplode(F.array_repeat(F.lit(0), F.col("v").cast("int"))).alias("p_", "z_")).select("seg_", (F.col("s_") + F.col("p_")).alias("at_"))
-    sums = owner.join(x, F.col("at_") == F.col("i")).groupBy("seg_").agg(F.sum("v").alias("t_"))
-    return sizes.select("i").join(sums, F.col("i") == F.col("seg_"), "left").select("i", F.coalesce("t_", F.lit(0)).alias("v"))
+    end = F.struct((F.col("s_") + F.col("v")).alias("at_"), F.lit(1).alias("sign_"))
+    ends = starts.select(F.col("i").alias("seg_"), F.explode(F.array(end, F.struct(F.col("s_").alias("at_"), F.lit(-1).alias("sign_")))).alias("e_"))
+    # an end is one of the places of x or the one behind the last, of which the sum is the whole
+    before = cumulative_sum(x).select(F.col("i").alias("j_"), F.col("v").alias("b_"))
+    sums = ends.join(before, F.col("e_.at_") == F.col("j_"), "left").groupBy("seg_").agg(F.sum(F.col("e_.sign_") * F.col("b_")).alias("t_"), F.count("j_").alias("n_"))
+    wrong = F.raise_error(F.lit("sizes do not add up to the length"))
+    return sums.select(F.col("seg_").alias("i"), F.when(F.col("n_") < 2, wrong).otherwise(F.col("t_")).cast("long").alias("v"))
 
 
 def argsort(a: DataFrame) -> DataFrame:

@@ -112,14 +112,12 @@ class FiniteFunction:
         """This gives block sizes; each ``a(x)`` becomes the places of its block, in order."""
         if a.target != self.source:
             return None
-        from .lineage import prefix_sum
+        from .lineage import prefix_sum, unfolded
 
         blocks = prefix_sum(self.table, F.col("v"), ["i"], "s_").select(F.col("i").alias("b_"), F.col("v").alias("n_"), "s_")
-        long = a.table.join(blocks, F.col("v") == F.col("b_")).select("i", "s_", F.posexplode(F.array_repeat(F.lit(0), F.col("n_").cast("int"))).alias("p_", "z_"))
-        from .lineage import indexed
-
-        out = indexed(long.select(F.col("i").alias("x_"), "p_", (F.col("s_") + F.col("p_")).alias("v")), ["x_", "p_"]).select("i", "v")
-        return FiniteFunction(out, out.count(), arrays.total(self.table))
+        picked = prefix_sum(a.table.join(blocks, F.col("v") == F.col("b_")).select("i", "n_", "s_"), F.col("n_"), ["i"], "at_")
+        long = unfolded(picked, F.col("n_")).select((F.col("at_") + F.col("p_")).alias("i"), (F.col("s_") + F.col("p_")).alias("v"))
+        return FiniteFunction(long, arrays.total(picked.select(F.col("n_").alias("v"))), arrays.total(self.table))
 
     def coequalizer(self, other: FiniteFunction) -> FiniteFunction | None:
         """The quotient of the codomain by ``f(i) ~ g(i)``; None unless both have the same domain and codomain."""

@@ -1,18 +1,34 @@
-"""Cutting lineage in loops, numbering rows, and prefix sums, without a single task that sees all rows."""
+"""Cutting lineage in loops, numbering rows, and prefix sums, without a single task that sees all rows.
+
+What is kept for later reading lies in the folder that driver and executors share, ``spark.checkpoint.dir``, so
+a lost executor costs a task and no table. Each application has a folder of its own there: ``release`` empties
+it once nothing that was returned is in use. Checkpoints of loops go with it, or, with the setting
+``spark.cleaner.referenceTracking.cleanCheckpoints``, when the driver forgets them.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bits of a row's place in its part in ``monotonically_increasing_id``.
+PLACE_BITS = 33
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where spark.checkpoint.dir is unset, as in tests, one of this machine."""
+    """The folder that driver and executors share.
+
+    Where spark.checkpoint.dir is unset, a local master gets a folder of this machine; on a cluster, where
+    no such folder would do, that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -20,33 +36,75 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/spanloom-{spark.sparkContext.applicationId}"
+
+
+def fresh(spark: SparkSession, what: str) -> str:
+    """A new name in this application's folder."""
+    return f"{run_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that this application keeps in the shared folder; frames that were returned before cannot be read after it."""
+    remove(spark, run_dir(spark))
+    if spark.sparkContext.getCheckpointDir() is not None:
+        remove(spark, spark.sparkContext.getCheckpointDir())
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` computed once and kept in the shared folder as a Parquet table: its size is known, and columns that are not read cost nothing."""
+    path = fresh(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _ranged(df: DataFrame, within: list[str], order: list) -> DataFrame:
-    """Rows dealt by range of ``within`` and ``order``, each with the number of its part; kept, as part numbers change when recomputed."""
+    """Rows dealt and sorted by ``within`` and ``order``, with the number of their part and their place in it; kept, as these change when recomputed."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(c) for c in within] + [F.col(c) if isinstance(c, str) else c for c in order]
-    return cut(df.repartitionByRange(parts, *keys).withColumn("lineage_part_", F.spark_partition_id()))
+    at = F.monotonically_increasing_id()
+    out = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("lineage_at_", at)
+    part, place = F.shiftright("lineage_at_", PLACE_BITS).alias("lineage_part_"), F.col("lineage_at_").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("lineage_own_")
+    return cut(out.select("*", part, place).drop("lineage_at_"))
+
+
+def _shifted(ranged: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of ``counts`` (*keys, lineage_part_, ...), one row for each part of a group: few, so that they are sent to the rows where that is cheaper."""
+    side = counts.select(*[F.col(k).alias(f"lineage_{k}") for k in keys], F.col("lineage_part_").alias("lineage_p_"), *[c for c in counts.columns if c not in (*keys, "lineage_part_")])
+    same = F.col("lineage_part_") == F.col("lineage_p_")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"lineage_{k}"))
+    # without groups there is one row a part: their number is that of the shuffle partitions
+    return ranged.join(side if keys else F.broadcast(side), same)
 
 
 def indexed(df: DataFrame, order: list, name: str = "i", within: tuple[str, ...] = (), start: int = 0) -> DataFrame:
     """``df`` with a dense number ``name`` from ``start`` in the order of ``order``, within each group of ``within``.
 
-    Rows are dealt by range, numbered in each part, and shifted by the counts of the parts before.
+    Rows are dealt and sorted by range, so a row's place in its part is its number but for what stands in
+    the parts before and, with groups, before its group in its part. A group may fill any number of parts.
     """
     keys = list(within)
     ranged = _ranged(df, keys, order)
-    counts = ranged.groupBy(*keys, "lineage_part_").agg(F.count("*").alias("lineage_n_"))
-    shift = counts.select(*[F.col(k).alias(f"lineage_{k}") for k in keys], F.col("lineage_part_").alias("lineage_p_"), (F.sum("lineage_n_").over(W.partitionBy(*keys).orderBy("lineage_part_")) - F.col("lineage_n_")).alias("lineage_before_"))
-    own = ranged.withColumn("lineage_own_", F.row_number().over(W.partitionBy("lineage_part_", *keys).orderBy(*order)))
-    same = F.col("lineage_part_") == F.col("lineage_p_")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"lineage_{k}"))
-    return own.join(shift, same).withColumn(name, (F.col("lineage_before_") + F.col("lineage_own_") - 1 + start).cast("long")).select(*df.columns, name)
+    counts = ranged.groupBy(*keys, "lineage_part_").agg(F.count("*").alias("lineage_n_"), F.min("lineage_own_").alias("lineage_first_"))
+    before = F.sum("lineage_n_").over(W.partitionBy(*keys).orderBy("lineage_part_")) - F.col("lineage_n_")
+    shift = counts.withColumn("lineage_shift_", before - F.col("lineage_first_")).drop("lineage_n_", "lineage_first_")
+    return _shifted(ranged, shift, keys).withColumn(name, (F.col("lineage_own_") + F.col("lineage_shift_") + start).cast("long")).select(*df.columns, name)
 
 
 def prefix_sum(df: DataFrame, value: Column, order: list, name: str, within: tuple[str, ...] = ()) -> DataFrame:
@@ -54,9 +112,44 @@ def prefix_sum(df: DataFrame, value: Column, order: list, name: str, within: tup
     keys = list(within)
     ranged = _ranged(df.withColumn("lineage_v_", value.cast("long")), keys, order)
     sums = ranged.groupBy(*keys, "lineage_part_").agg(F.sum("lineage_v_").alias("lineage_n_"))
-    shift = sums.select(*[F.col(k).alias(f"lineage_{k}") for k in keys], F.col("lineage_part_").alias("lineage_p_"), (F.sum("lineage_n_").over(W.partitionBy(*keys).orderBy("lineage_part_")) - F.col("lineage_n_")).alias("lineage_before_"))
-    own = ranged.withColumn("lineage_own_", F.sum("lineage_v_").over(W.partitionBy("lineage_part_", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("lineage_v_"))
-    same = F.col("lineage_part_") == F.col("lineage_p_")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"lineage_{k}"))
-    return own.join(shift, same).withColumn(name, (F.col("lineage_before_") + F.col("lineage_own_")).cast("long")).select(*df.columns, name)
+    shift = sums.withColumn("lineage_shift_", F.sum("lineage_n_").over(W.partitionBy(*keys).orderBy("lineage_part_")) - F.col("lineage_n_")).drop("lineage_n_")
+    within_part = W.partitionBy("lineage_part_", *keys).orderBy("lineage_own_").rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = ranged.withColumn("lineage_sum_", F.sum("lineage_v_").over(within_part) - F.col("lineage_v_"))
+    return _shifted(own, shift, keys).withColumn(name, (F.col("lineage_shift_") + F.col("lineage_sum_")).cast("long")).select(*df.columns, name)
+
+
+#: Rows that one row is unfolded into at a time.
+RUN = 1 << 16
+
+
+def unfolded(df: DataFrame, size: Column, name: str = "p_") -> DataFrame:
+    """Each row of ``df`` ``size`` times, with ``name`` from 0.
+
+    A size is first split into runs, which are dealt out, so that a very large one is neither one array nor one task.
+    """
+    runs = df.withColumn("lineage_size_", size.cast("long")).where("lineage_size_ > 0")
+    runs = runs.withColumn("lineage_run_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lineage_size_") - 1, F.lit(RUN).cast("long"))))
+    spread = runs.repartition(F.col("lineage_run_"), *[F.col(c) for c in df.columns])
+    last = F.least(F.col("lineage_run_") + RUN, F.col("lineage_size_")) - 1
+    return spread.withColumn(name, F.explode(F.sequence(F.col("lineage_run_"), last))).select(*df.columns, name)
+
+
+#: Of a table with one row a key, as many rows at most are sent to all workers.
+HOT = 1024
+
+
+def looked_up(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keyed``, which has each ``key`` once and in ``n`` how many of ``rows`` have it.
+
+    Keys of more than one in ``HOT`` of all those rows are fewer than ``HOT``, by arithmetic: they are sent to
+    the rows. The rows of all other keys are dealt by key, where none of them is large.
+    """
+    total = keyed.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    least = total // HOT + 1
+    hot, cold = keyed.where(F.col(n) >= least), keyed.where(F.col(n) < least)
+    here = F.broadcast(hot.withColumn("lineage_hot_", F.lit(True)).withColumnRenamed(key, "lineage_key_"))
+    mine = rows.join(here, F.col(key) == F.col("lineage_key_"), "left")
+    added = [c for c in keyed.columns if c != key]
+    first = mine.where("lineage_hot_").select(*rows.columns, *added)
+    rest = mine.where("lineage_hot_ IS NULL").select(*rows.columns).join(cold.hint("merge").withColumnRenamed(key, "lineage_key_"), F.col(key) == F.col("lineage_key_"), how)
+    return first.unionByName(rest.select(*rows.columns, *added))

@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrays
 from .finite import FiniteFunction, Labels
-from .lineage import indexed, prefix_sum
+from .lineage import indexed, prefix_sum, unfolded
 
 
 @dataclass(frozen=True)
@@ -29,8 +28,7 @@ class Ragged:
         if total != values.count():
             return None
         starts = prefix_sum(sizes, F.col("v"), ["i"], "s_")
-        owner = starts.select(F.col("i").alias("seg"), "s_", F.posexplode(F.array_repeat(F.lit(0), F.col("v").cast("int"))).alias("pos", "z_"))
-        owner = owner.select("seg", F.col("pos").cast("long").alias("pos"), (F.col("s_") + F.col("pos")).alias("at_"))
+        owner = unfolded(starts, F.col("v"), "pos").select(F.col("i").alias("seg"), "pos", (F.col("s_") + F.col("pos")).alias("at_"))
         return Ragged(owner.join(values, F.col("at_") == F.col("i")).select("seg", "pos", "v"), n, target)
 
     @staticmethod
@@ -106,9 +104,8 @@ class Ragged:
         return None if got is None else got.values()
 
     def _packed(self, rows: DataFrame, order: list[str], n: int, target: int | None) -> Ragged:
-        """Rows (seg, *order, v) with places counted anew in each segment."""
-        rank = F.row_number().over(W.partitionBy("seg").orderBy(*order)) - 1
-        return Ragged(rows.withColumn("pos", rank.cast("long")).select("seg", "pos", "v"), n, target)
+        """Rows (seg, *order, v) with places counted anew in each segment, which may fill any number of parts."""
+        return Ragged(indexed(rows, order, "pos", ("seg",)).select("seg", "pos", "v"), n, target)
 
     def flatmap(self, other: Ragged) -> Ragged:
         """Lists of lists run together: every value replaced by its list, order and repeats kept."""
