@@ -6,7 +6,6 @@ Python ``bytes.split()`` of the UTF-8 text, which splits at exactly these six by
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,13 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, shared_dir  # noqa: F401
+from ..functions.lineage import cut, fresh, looked_up, remove, stored  # noqa: F401
 
 #: Of the text that one step holds as Python objects at a time.
 SLICE_BYTES = 4 << 20
-#: Rows of an Arrow batch, so that a batch of very long texts fits a worker's memory.
-BATCH_ROWS = 1000
-
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,16 +43,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh(spark: SparkSession, what: str) -> str:
-    """A new name in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+class Scratch:
+    """Tables of one computation in a folder of their own, which goes as a whole once the results stand elsewhere."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.path = spark, fresh(spark, what)
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}")
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` computed once and kept in the shared folder as a Parquet table: smaller than a checkpoint, and columns that are not read cost nothing."""
-    path = fresh(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    def drop(self) -> None:
+        remove(self.spark, self.path)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -80,14 +78,15 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def map_slices(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str, by: str = "text", most: int = SLICE_BYTES) -> DataFrame:
-    """``step`` over slices of Arrow batches; it returns the columns of ``schema``."""
+    """``step`` over slices of Arrow batches; it returns the columns of ``schema``.
+
+    Spark bounds a batch by ``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set, so many very
+    long texts come in many batches.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    spark = df.sparkSession
     kind = to_arrow_schema(StructType.fromDDL(schema))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

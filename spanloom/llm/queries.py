@@ -99,12 +99,6 @@ def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_line_chunks"] = linededup.ORACLE
 
 
-@query
-def op5_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op5_line_chunks``, with all repeated passages found wherever they stand."""
-    return linededup.dedup(table(spark, sf_dir, "documents"), find=linededup.windows)
-
-
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
