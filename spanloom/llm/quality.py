@@ -49,15 +49,29 @@ class Floors:
 
 @dataclass(frozen=True)
 class Band:
-    """Limits, both included. All but ``fallback`` and ``floors`` hold for texts of at least ``least`` piece tokens; entropy is in bits a token."""
+    """Limits, both included, for texts of any length; entropy is in bits a token.
+
+    A ratio of n tokens swings by about 1 / sqrt(n) of itself around that of a long text, so its limits widen
+    by ``SWING`` times that. No n tokens have more entropy than log2(n), so the lower limit of entropy is at
+    most that less ``SLACK``. A share of n tokens is in steps of 1 / n, so one more token may always fall back.
+    """
 
     piece_chars: tuple[float, float] = (1.0, 12.0)
     byte_chars: tuple[float, float] = (1.0, 14.0)
     fallback: tuple[float, float] = (0.0, 0.05)
     entropy: tuple[float, float] = (3.0, 20.0)
-    least: int = 160
     floors: Floors | None = None
 
+    def hold(self, n: int, piece_chars: float, byte_chars: float, fallback: float, entropy: float) -> bool:
+        swing = SWING / math.sqrt(n)
+        ratios = all(low / (1 + swing) <= x <= high * (1 + swing) for x, (low, high) in ((piece_chars, self.piece_chars), (byte_chars, self.byte_chars)))
+        share = self.fallback[0] <= fallback <= self.fallback[1] + 1 / n
+        spread = min(self.entropy[0], math.log2(n) - SLACK) <= entropy <= self.entropy[1]
+        return ratios and share and spread and (self.floors is None or self.floors.hold(n, piece_chars, byte_chars, entropy))
+
+
+SWING, SLACK = 2.0, 1.5
+
 
 #: Floors from the texts of even doc_id of sf0.1 that ``labels`` calls good and the base rules keep (1628): their 0.25th percentile in each octave of
 #: piece tokens, over all languages where one has under 30 texts; ratios are at most those of longer texts. ``typical`` is the median.
@@ -69,14 +83,14 @@ FLOORS: dict[str, Floors] = {
 }
 #: For other languages in Latin script the lowest of these.
 LOWEST = Floors(*(tuple(map(min, zip(*(getattr(f, k) for f in FLOORS.values()), strict=True))) for k in ("piece_chars", "byte_chars", "entropy")), min(f.typical for f in FLOORS.values()))
-#: Bands by script; a language in LANGUAGES comes first. Scripts that the piece vocabulary spells in bytes have no limit there; no labelled texts are in scripts other than Latin.
+#: Bands by script; a language in LANGUAGES comes first. Scripts that the piece vocabulary spells in bytes have no limit there; no labelled texts are in
+#: scripts other than Latin, so these are not fitted. A text without letters, script "none", has no band and is rejected.
 SCRIPTS: dict[str, Band] = {
     "latin": Band(floors=LOWEST),
     "cyrillic": Band(piece_chars=(1.2, 12.0), byte_chars=(0.8, 14.0), fallback=(0.0, 0.1)),
     "greek": Band(piece_chars=(0.8, 12.0), byte_chars=(0.4, 14.0), fallback=(0.0, 0.2)),
     "cjk": Band(piece_chars=(0.25, 4.0), byte_chars=(0.25, 6.0), fallback=(0.0, 0.9)),
     "other": Band(piece_chars=(0.2, 12.0), byte_chars=(0.2, 14.0), fallback=(0.0, 1.0)),
-    "none": Band(piece_chars=(12.0, 0.0), least=0),
 }
 LANGUAGES: dict[str, Band] = {name: Band(floors=floors) for name, floors in FLOORS.items()}
 #: First code points and names of the ranges that decide a text's script; letters elsewhere are "other".
@@ -134,11 +148,11 @@ def measure(texts: list[str], piece_path: str, bpe_path: str, pattern: str) -> d
     tokens, token_ends = flat[at], offsets[ends_]
     out["n_pieces"] = np.diff(token_ends)
     owner = np.repeat(np.arange(len(texts)), out["n_pieces"])
-    out["n_bytes"] = np.bincount(owner, weights=is_byte[tokens], minlength=len(texts)).astype(np.int64) if len(tokens) else np.zeros(len(texts), dtype=np.int64)
-    _, counts = np.unique(owner * len(is_byte) + tokens, return_counts=True) if len(tokens) else (None, np.zeros(0))
-    pair_owner = np.unique(owner * len(is_byte) + tokens) // len(is_byte) if len(tokens) else np.zeros(0, dtype=np.int64)
+    out["n_bytes"] = np.bincount(owner, weights=is_byte[tokens], minlength=len(texts)).astype(np.int64)
+    pairs, counts = np.unique(owner * len(is_byte) + tokens, return_counts=True)
+    pair_owner = pairs // len(is_byte)
     whole = np.maximum(out["n_pieces"], 1).astype(float)
-    spread = np.bincount(pair_owner, weights=counts * np.log2(np.maximum(counts, 1)), minlength=len(texts)) if len(tokens) else np.zeros(len(texts))
+    spread = np.bincount(pair_owner, weights=counts * np.log2(counts), minlength=len(texts))
     out["entropy"] = np.log2(whole) - spread / whole
 
     each = bpe.encode_texts([" " + w for w in words], bpe_path, pattern)[1] if words else np.zeros(1, dtype=np.int64)
@@ -167,22 +181,14 @@ def repeated(doc: np.ndarray, codes: np.ndarray, n: int, width: int = 5) -> np.n
     return np.bincount(doc, weights=np.cumsum(marked[:-1]) > 0, minlength=n).astype(np.int64)
 
 
-def inside(x: float, band: tuple[float, float]) -> bool:
-    return band[0] <= x <= band[1]
-
-
 def judge(lang: str | None, text: str, m: dict) -> tuple[str, bool]:
     """The name of the band and whether the text lies within it."""
     name = lang if lang in LANGUAGES else script(text)
-    band = LANGUAGES.get(name) or SCRIPTS[name]
-    if not m["n_pieces"]:
-        return name, False
-    if not inside(m["n_bytes"] / m["n_pieces"], band.fallback):
-        return name, False
-    piece_chars, byte_chars = m["word_chars"] / m["n_pieces"], m["word_chars"] / max(1, m["n_bpe"])
-    if band.floors and not band.floors.hold(m["n_pieces"], piece_chars, byte_chars, m["entropy"]):
+    band = LANGUAGES.get(name) or SCRIPTS.get(name)
+    n = int(m["n_pieces"])
+    if not n or band is None:
         return name, False
-    return name, m["n_pieces"] < band.least or (inside(piece_chars, band.piece_chars) and inside(byte_chars, band.byte_chars) and inside(m["entropy"], band.entropy))
+    return name, band.hold(n, m["word_chars"] / n, m["word_chars"] / max(1, m["n_bpe"]), m["n_bytes"] / n, m["entropy"])
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, band string, piece_chars double, byte_chars double, fallback double, entropy double"
@@ -192,7 +198,8 @@ def rules(docs: DataFrame, piece_path: str, bpe_path: str, pattern: str, id_col:
     """For each row of (id, text, lang) its counts, measures and verdict; with ``keep_row`` text, lang, source and n_chars too.
 
     A null or empty text has no words, so it fails the base rules. A null or unknown language is judged by
-    script. Equal rows each give a row, and all other columns are ignored.
+    script; a text without letters in such a language is rejected. Texts of any length are judged by their
+    band. Equal rows each give a row, and all other columns are ignored.
     """
     more = ["source", "n_chars"] if keep_row else []
     plain = common.pick(docs, id_col, "text", "lang", *more).withColumnRenamed(id_col, "id_")

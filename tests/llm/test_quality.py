@@ -85,3 +85,87 @@ def test_short_texts_are_judged():
     m = quality.measure([text, few], *PATHS)
     assert m["n_pieces"][0] < 160
     assert [quality.judge("en", t, {k: v[i] for k, v in m.items()})[1] for i, t in enumerate([text, few])] == [False, True]
+
+
+def test_measures_against_the_libraries():
+    """Tokens of both vocabularies, word by word, as the libraries count them, and the bytes among them."""
+    import base64
+
+    import sentencepiece
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATHS[1], "rb"))}
+    book = tiktoken.Encoding("own", pat_str=PATHS[2], mergeable_ranks=ranks, special_tokens={})
+    model = sentencepiece.SentencePieceProcessor(model_file=PATHS[0])
+    rng = random.Random(3)
+    texts = ["", " \n", "x", "naïve café", "привет мир 日本語", "a\x00b \U0001f9ff"] + [" ".join("".join(rng.choice("abcdeéж日#1") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(60))) for _ in range(40)]
+    m = quality.measure(texts, *PATHS)
+    for i, t in enumerate(texts):
+        words = WORD.findall(t)
+        pieces = [x for w in words for x in model.encode(w)]
+        assert (m["n_pieces"][i], m["n_bytes"][i], m["n_bpe"][i]) == (len(pieces), sum(model.is_byte(x) for x in pieces), sum(len(book.encode_ordinary(" " + w)) for w in words)), t
+
+
+def brute_judge(lang, text, m):
+    """The bands said again, limit by limit."""
+    import math
+
+    n, band = m["n_pieces"], quality.LANGUAGES.get(lang)
+    if band is None:
+        letters = Counter(quality.script(c) for c in text if quality.script(c) != "none")
+        if not letters:
+            return False
+        band = quality.SCRIPTS[max(letters, key=lambda k: (letters[k], k))]
+    if n == 0:
+        return False
+    for value, (low, high) in ((m["word_chars"] / n, band.piece_chars), (m["word_chars"] / max(1, m["n_bpe"]), band.byte_chars)):
+        if value * (1 + 2 / math.sqrt(n)) < low or value > high * (1 + 2 / math.sqrt(n)):
+            return False
+    if m["n_bytes"] > band.fallback[1] * n + 1 or m["entropy"] > band.entropy[1] or m["entropy"] < min(band.entropy[0], math.log2(n) - 1.5):
+        return False
+    if band.floors is None:
+        return True
+    x, f = math.log2(n), band.floors
+
+    def floor(values):
+        if x <= quality.AT[0]:
+            return values[0]
+        for a, b, u, v in zip(quality.AT, quality.AT[1:], values, values[1:]):
+            if x <= b:
+                return u + (v - u) * (x - a) / (b - a)
+        return values[-1]
+
+    if m["word_chars"] / n < floor(f.piece_chars) or m["word_chars"] / max(1, m["n_bpe"]) < floor(f.byte_chars):
+        return False
+    return m["word_chars"] / n > f.typical or m["entropy"] >= floor(f.entropy) - max(0, quality.AT[0] - x)
+
+
+def test_judge_against_brute_force():
+    rng = random.Random(8)
+    alphabets = ["abcdefghij ", "the and of in ", "бвгдежзий ", "日本語中文 ", "αβγδεζ ", "bcdfghjkl ", "0123456789 ", "שלום ", "ab日本ж "]
+    rows = []
+    for _ in range(400):
+        a = rng.choice(alphabets)
+        words = [" ".join("".join(rng.choice(a) for _ in range(rng.randrange(1, 8))) for _ in range(rng.choice([1, 3, 12, 40, 200])))]
+        rows.append((rng.choice(["en", "de", "xx", None, "fr"]), " ".join(words)))
+    m = quality.measure([t for _, t in rows], *PATHS)
+    verdicts = []
+    for i, (lang, text) in enumerate(rows):
+        one = {k: v[i] for k, v in m.items()}
+        verdicts.append(quality.judge(lang, text, one)[1])
+        assert verdicts[-1] == brute_judge(lang, text, one), (lang, text[:80])
+    assert 40 < sum(verdicts) < 360
+
+
+def test_short_junk_goes():
+    rng = random.Random(9)
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(3, 9))) for _ in range(20))
+    texts = [("en", noise), ("en", "a b c d e f g h i j k l m n o p"), ("xx", noise), ("en", "It was late in the year when the first of the ships came back to the harbour.")]
+    m = quality.measure([t for _, t in texts], *PATHS)
+    assert [quality.judge(a, t, {k: v[i] for k, v in m.items()})[1] for i, (a, t) in enumerate(texts)] == [False, False, False, True]
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"word{i % 977}" for i in range(400_000))
+    (r,) = quality.rules(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, kept string"), *PATHS).collect()
+    assert r.n_words == 400_000 and r.n_repeat_words == 400_000 and r.base_failed and not r.kept
