@@ -144,7 +144,10 @@ def looked_up(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str = "i
     Keys of more than one in ``HOT`` of all those rows are fewer than ``HOT``, by arithmetic: they are sent to
     the rows. The rows of all other keys are dealt by key, where none of them is large.
     """
-    total = keyed.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    total, keys = keyed.agg(F.coalesce(F.sum(n), F.lit(0)), F.count("*")).first()
+    if keys <= HOT:
+        side = F.broadcast(keyed.withColumnRenamed(key, "lineage_key_"))
+        return rows.join(side, F.col(key) == F.col("lineage_key_"), how).drop("lineage_key_")
     least = total // HOT + 1
     hot, cold = keyed.where(F.col(n) >= least), keyed.where(F.col(n) < least)
     here = F.broadcast(hot.withColumn("lineage_hot_", F.lit(True)).withColumnRenamed(key, "lineage_key_"))
