@@ -1,56 +1,69 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Rows of a source lie in ``BLOCKS`` blocks by a hash, which is a random permutation. A source whose target
-is t times its size is drawn floor(t) times whole and once more in part: the blocks of a permuted prefix,
-the last of them cut at the row where the words come nearest to the target. These draws are the source's
-exact block quota. The quotas of all sources are split over the output shards by a tree: a node's draws
-are divided between its halves by a multivariate hypergeometric draw, so that every shard gets an equal
-number of blocks and is a random sample of the mix. A shard's draws of a source are consecutive in the
-permuted sequence, so they are disjoint; its rows are then shuffled within it.
+The rows of a source lie in blocks by a hash, which is a random permutation; a source has the more blocks the
+larger it is, so that a block stays small. A source whose target is t times its size is drawn floor(t) times
+whole and once more in part: the blocks of a prefix of the permutation, the last of them cut at the row where
+the words come nearest to the target. The number of these draws is the source's exact block quota.
+
+The quotas of all sources are split over the output shards by a tree: the draws of a node are divided between
+its halves by a multivariate hypergeometric draw, so that every shard gets an equal number of blocks and is a
+random sample of the mix. A leaf's draws of a source are consecutive in the source's permuted passes, so
+leaves are disjoint. What a row is taken for follows from the leaves: a row is taken once for each draw of its
+block. The rows of a shard are then shuffled within it.
+
+With very many sources the tree is climbed in two steps, first with sources in ``GROUPS`` groups, on the
+driver, then within each group, on the workers: a hypergeometric draw of groups, and of sources given those
+of their group, is one of all sources.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import indexed, prefix_sum, unfolded
 from . import common
 
-BLOCKS, SHARDS, CAP, SEED = 1024, 16, 3, 20240229
-#: Parts of a shard, a power of 2.
-PARTS = 64
+SHARDS, CAP, SEED = 16, 3, 20240229
+#: Words of a block of a large source, and blocks of a small one, unless it has fewer rows.
+BLOCK_WORDS, LEAST_BLOCKS = 1 << 16, 1024
+#: Groups of sources whose quotas the driver splits; parts of a shard, a power of 2.
+GROUPS, PARTS = 1024, 64
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP) -> DataFrame:
-    """(source, source_size) with ``target``: shares of all sizes by weight, none above ``cap`` times the size.
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
+    """``sizes`` (source, source_size, ...) with ``target``: shares of all sizes by weight, none above ``cap`` times the size.
 
     Sources take the weights in turn by code point, null last. Filling by weight until the caps of the
     sources that are full: sorted by cap over weight, a source is full if an even share of what the fuller
-    ones leave exceeds its cap; all others share what is left. One row a source, so one task sorts them.
+    ones leave exceeds its cap; all others share what is left. Ranks and sums are found part by part, so any
+    number of sources will do.
     """
-    ranked = sizes.withColumn("rank", F.row_number().over(W.partitionBy().orderBy(F.col("source").asc_nulls_last())))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    limit = F.col("source_size") * cap
-    flow = W.partitionBy().orderBy(limit / F.col("weight"), "rank")
-    whole = W.partitionBy()
-    x = ranked.withColumn("weight", weight)
-    x = x.withColumn("full_before", F.coalesce(F.sum(limit).over(flow.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    x = x.withColumn("weight_from", F.sum("weight").over(flow.rowsBetween(W.currentRow, W.unboundedFollowing)))
-    x = x.withColumn("level", (F.sum("source_size").over(whole) - F.col("full_before")) / F.col("weight_from"))
-    x = x.withColumn("full", F.col("level") > limit / F.col("weight"))
-    x = x.withColumn("share", F.coalesce(F.max(F.when(~F.col("full"), F.col("level"))).over(whole), F.lit(0.0)))
-    return x.select("source", "source_size", F.when(F.col("full"), limit).otherwise(F.least(F.col("weight") * F.col("share"), limit)).cast("double").alias("target"))
-
-
-def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Block quotas of ``shards`` leaves, a row for each: rows differ by one block at most in their sums, columns sum to ``quotas``."""
+    ranked = indexed(sizes, [F.col("source").asc_nulls_last()], "rank")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int")).cast("long")
+    x = ranked.withColumn("weight", weight).withColumn("limit", F.col("source_size") * cap)
+    order = [F.col("limit") / F.col("weight"), F.col("rank")]
+    x = common.cut(prefix_sum(prefix_sum(x, F.col("limit"), order, "full_before"), F.col("weight"), order, "weight_before"))
+    total, weights_ = x.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    x = x.withColumn("level", (F.lit(total) - F.col("full_before")) / (F.lit(weights_) - F.col("weight_before")))
+    x = x.withColumn("full", F.col("level") > F.col("limit") / F.col("weight"))
+    share = x.where("NOT full").agg(F.max("level")).first()[0] or 0.0
+    target = F.when(F.col("full"), F.col("limit").cast("double")).otherwise(F.least(F.col("weight") * F.lit(share), F.col("limit").cast("double")))
+    return x.select(*sizes.columns, target.cast("double").alias("target"))
+
+
+def rooms(total: int, shards: int) -> list[int]:
+    """``total`` in ``shards`` numbers that differ by one at most."""
+    return [total * (i + 1) // shards - total * i // shards for i in range(shards)]
+
+
+def split_quotas(quotas: list[int], room: list[int], seed: int | list[int] = SEED) -> np.ndarray:
+    """Block quotas of the leaves, a row for each: rows sum to ``room``, columns to ``quotas``, which have one sum."""
     rng = np.random.default_rng(seed)
-    left_over = np.array(quotas, dtype=np.int64)
-    total = int(left_over.sum())
-    room = [total * (i + 1) // shards - total * i // shards for i in range(shards)]
-    out = np.zeros((shards, len(quotas)), dtype=np.int64)
+    out = np.zeros((len(room), len(quotas)), dtype=np.int64)
 
     def split(first: int, last: int, have: np.ndarray) -> None:
         if last - first == 1:
@@ -62,73 +75,91 @@ def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray
         split(mid, last, have - left)
 
     if len(quotas):
-        split(0, shards, left_over)
+        split(0, len(room), np.array(quotas, dtype=np.int64))
     return out
 
 
+def leaves(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """(s_, shard, start, n, n_blocks, whole, cut, left): the draws of each source (s_, quota, n_blocks, whole, cut, left) that each shard has, counted through its passes."""
+    grouped = common.cut(quotas.withColumn("group_", F.pmod(F.xxhash64("s_"), F.lit(GROUPS)).cast("int")))
+    sums = grouped.groupBy("group_").agg(F.sum("quota").alias("quota")).orderBy("group_").collect()
+    total = sum(r["quota"] for r in sums)
+    top = split_quotas([r["quota"] for r in sums], rooms(total, shards), seed)
+    room = {r["group_"]: top[:, i].tolist() for i, r in enumerate(sums)}
+
+    def within(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("s_").reset_index(drop=True)
+        group = int(frame["group_"].iloc[0])
+        each = split_quotas(frame["quota"].tolist(), room[group], [seed, group])
+        starts = np.concatenate((np.zeros((1, len(frame)), dtype=np.int64), np.cumsum(each, axis=0)[:-1]))
+        parts = [frame[["s_", "n_blocks", "whole", "cut", "left"]].assign(shard=j, start=starts[j], n=each[j]) for j in range(shards)]
+        return pd.concat(parts)
+
+    return grouped.groupBy("group_").applyInPandas(within, "s_ string, n_blocks long, whole long, cut long, left double, shard int, start long, n long").where("n > 0")
+
+
 def draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """For each row: (id, source, size, key, source_size, target, times, shards), and its columns ``keep`` as ``keep0_``, ``keep1_``, ...
+    """For each row: (id, source, size, key, block, source_size, target, turns, shards), and its columns ``keep`` as ``keep0_``, ``keep1_``, ...
 
-    ``times`` is how often the mix takes the row, ``shards`` the output shard of each take. Null texts
-    have size 0, null sources are one source. Equal rows are drawn apart. The table of sources, one row
-    each, is read by the driver, which splits their quotas.
+    ``turns`` are the passes in which the mix takes the row, ``shards`` the output shard of each. Null texts
+    have size 0, null sources are one source, and a source without words is taken not at all. Rows of equal
+    id and text have one place in the permutation and are drawn one by one. An empty table gives no rows.
     """
     kept = [f"keep{i}_" for i in range(len(keep))]
     plain = common.pick(docs, id_col, text_col, source_col, *keep).toDF("id", "text", "source", *kept)
     key = F.xxhash64(F.lit(seed), "id", "text")
-    full = plain.select("id", "source", common.n_words(F.col("text")).alias("size"), key.alias("key"), F.shiftrightunsigned(key, 54).cast("int").alias("block"), *kept)
+    s_ = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source").cast("string")))
+    full = plain.select("id", "source", s_.alias("s_"), common.n_words(F.col("text")).alias("size"), key.alias("key"), *kept)
     rows = common.stored(full.drop(*kept), "mix-rows")
-    blocks = common.cut(rows.groupBy("source", "block").agg(F.sum("size").alias("words")))
-    goals = common.cut(targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size"))))
-
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    goal = goals.select(F.col("source").alias("s_"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
-    order = W.partitionBy("source").orderBy("block")
-    b = blocks.join(goal, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-    b = b.withColumn("place", F.row_number().over(order) - 1).withColumn("before", F.sum("words").over(order) - F.col("words")).withColumn("n_blocks", F.count("*").over(W.partitionBy("source")))
-    left = F.col("rest") - F.col("before")
-    b = common.cut(b.withColumn("part", F.when(left <= 0, "none").when(left >= F.col("words"), "all").otherwise("some")).withColumn("left", left))
-
-    plan = b.groupBy("source").agg((F.first("n_blocks") * F.first("whole") + F.count_if(F.col("part") != "none")).alias("quota")).orderBy(F.col("source").asc_nulls_last()).collect()
-    leaves = split_quotas([r["quota"] for r in plan], shards, seed)
-    bounds = np.concatenate((np.zeros((1, len(plan)), dtype=np.int64), np.cumsum(leaves, axis=0)))
-    kind = plan_schema(docs, source_col)
-    edges = docs.sparkSession.createDataFrame([(r["source"], bounds[1:-1, i].tolist()) for i, r in enumerate(plan)], f"s_ {kind}, edges array<bigint>")
-
-    def shard_of(turn: Column) -> Column:
-        """Of the draw in the ``turn``-th pass over the blocks, each pass in the order of ``place``."""
-        at = turn.cast("long") * F.col("n_blocks") + F.col("place")
-        return F.size(F.filter("edges", lambda e: e <= at)).cast("int")
-
-    turns = F.when(F.col("whole") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("whole") - 1, F.lit(0))), shard_of)).otherwise(F.array().cast("array<int>"))
-    b = b.join(edges, F.col("source").eqNullSafe(F.col("s_"))).select(F.col("source").alias("s_"), F.col("block").alias("b_"), "source_size", "target", "whole", "part", "left", turns.alias("turns"), shard_of(F.col("whole")).alias("extra"))
-    x = (full if keep else rows).join(b, F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")))
-    passed = W.partitionBy("source", "block").orderBy("key", "size", "id")
+    sizes = rows.groupBy("s_", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+    n_blocks = F.greatest(F.ceil(F.col("source_size") / BLOCK_WORDS), F.least(F.col("n_rows"), F.lit(LEAST_BLOCKS))).cast("long")
+    goals = common.stored(targets(sizes).withColumn("n_blocks", n_blocks), "mix-goals")
+
+    def placed(some: DataFrame) -> DataFrame:
+        at = F.floor(F.shiftrightunsigned("key", 11).cast("double") / F.lit(2.0**53) * F.col("n_blocks")).cast("long")
+        return common.looked_up(some, goals.drop("source"), "s_", "n_rows").withColumn("block", at).drop("n_rows")
+
+    here = common.stored(placed(rows), "mix-placed")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    goal = goals.select(F.col("s_").alias("g_"), "n_blocks", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
+    words = prefix_sum(here.groupBy("s_", "block").agg(F.sum("size").alias("words")), F.col("words"), ["block"], "before", ("s_",))
+    begun = words.join(goal, F.col("s_") == F.col("g_")).where(F.col("before") < F.col("rest"))
+    last = begun.groupBy(F.col("s_").alias("c_")).agg(F.max("block").alias("cut"), F.max_by(F.col("rest") - F.col("before"), "block").alias("left"))
+    quotas = goal.join(last, F.col("g_") == F.col("c_"), "left").select(F.col("g_").alias("s_"), (F.col("n_blocks") * F.col("whole") + F.coalesce(F.col("cut") + 1, F.lit(0))).alias("quota"), "n_blocks", "whole", "cut", "left")
+
+    drawn = unfolded(leaves(quotas, shards, seed), F.col("n"), "p_").withColumn("at", F.col("start") + F.col("p_"))
+    drawn = drawn.select("s_", F.expr("at % n_blocks").alias("block"), F.expr("at div n_blocks").cast("int").alias("turn"), "shard", "whole", "cut", "left")
+    partial = (F.col("turn") == F.col("whole")) & (F.col("block") == F.col("cut"))
+    by_block = drawn.groupBy(F.col("s_").alias("b_s"), F.col("block").alias("b_b")).agg(F.sort_array(F.collect_list(F.struct("turn", "shard"))).alias("takes"), F.max(F.when(partial, F.col("left"))).alias("left"))
+    x = (placed(full) if keep else here).join(by_block, (F.col("s_") == F.col("b_s")) & (F.col("block") == F.col("b_b")), "left").drop("b_s", "b_b")
+    x = x.withColumn("takes", F.coalesce("takes", F.array().cast("array<struct<turn:int,shard:int>>")))
+    # a block that the last pass cuts holds few rows; those behind the cut are not taken in that pass
+    passed = W.partitionBy("s_", "block").orderBy("key", "size", "id")
     halfway = F.sum("size").over(passed.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size") / 2
-    once = x.where("part <> 'some'").withColumn("more", F.col("part") == "all")
-    some = x.where("part = 'some'").withColumn("more", halfway <= F.col("left"))
-    x = once.unionByName(some)
-    takes = F.when(F.col("more"), F.concat("turns", F.array("extra"))).otherwise(F.col("turns"))
-    return x.select("id", "source", "size", "key", "source_size", "target", (F.col("whole") + F.col("more").cast("int")).alias("times"), takes.alias("shards"), *kept)
-
-
-def plan_schema(docs: DataFrame, source_col: str) -> str:
-    return common.pick(docs, source_col).schema[0].dataType.simpleString()
+    some = x.where("left IS NOT NULL").withColumn("takes", F.when(halfway <= F.col("left"), F.col("takes")).otherwise(F.slice("takes", 1, F.size("takes") - 1)))
+    x = x.where("left IS NULL").unionByName(some)
+    return x.select("id", "source", "size", "key", "block", "source_size", "target", F.col("takes.turn").alias("turns"), F.col("takes.shard").alias("shards"), *kept)
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, shards): one row for each document."""
-    return draws(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), F.concat_ws(",", F.transform("shards", lambda s: s.cast("string"))).alias("shards"))
+    """(doc_id, size, source_size, target, taken, shards): one row for each row of (doc_id, text, source).
+
+    ``taken`` is the size as often as the tree's draws take the row. Null and empty texts have size 0 and take
+    nothing; texts of any length count whole; equal rows each give a row, and may be taken differently often;
+    columns besides and clashing names are left out; an empty table gives no rows.
+    """
+    return draws(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), F.concat_ws(",", F.transform("shards", lambda s: s.cast("string"))).alias("shards"))
 
 
 def mix(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: ``columns`` of each document as often as it is taken, with its ``shard`` and a place in the shuffled shard, ``shuffle_key``.
 
     Rows come shuffled: a shard lies in ``PARTS`` parts by the first bits of ``shuffle_key``, each in one
-    partition and sorted by the key there, so that no task holds a whole shard.
+    partition and sorted by the key there, so that no task holds a whole shard. Written as they come, the
+    files keep that order, also without the two further columns.
     """
-    d = draws(docs, keep=tuple(columns)).select("key", F.posexplode("shards").alias("turn", "shard"), *[F.col(f"keep{i}_").alias(f"out{i}_") for i in range(len(columns))])
-    d = d.withColumn("order_", F.xxhash64("shard", "turn", "key")).withColumn("part_", part_of(F.col("order_")))
+    d = draws(docs, keep=tuple(columns)).select("key", F.explode(F.arrays_zip("turns", "shards")).alias("t"), *[F.col(f"keep{i}_").alias(f"out{i}_") for i in range(len(columns))])
+    d = d.withColumn("shard", F.col("t.shards")).withColumn("order_", F.xxhash64("shard", F.col("t.turns"), "key")).withColumn("part_", part_of(F.col("order_")))
     d = d.repartition("shard", "part_").sortWithinPartitions("shard", "part_", "order_")
     return d.select(*[F.col(f"out{i}_").alias(c) for i, c in enumerate(columns)], "shard", F.col("order_").alias("shuffle_key"))
 

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -58,14 +58,57 @@ def test_against_brute_force(spark, seed):
 
 
 def test_quotas():
-    leaves = mixing.split_quotas([100, 0, 7, 333], 6)
-    assert leaves.sum(axis=0).tolist() == [100, 0, 7, 333]
+    quotas = [100, 0, 7, 333]
+    leaves = mixing.split_quotas(quotas, mixing.rooms(sum(quotas), 6))
+    assert leaves.sum(axis=0).tolist() == quotas
     assert leaves.sum(axis=1).max() - leaves.sum(axis=1).min() <= 1
-    assert mixing.split_quotas([], 4).shape == (4, 0)
-    many = np.mean([mixing.split_quotas([50, 150], 2, seed)[0, 0] for seed in range(300)])
+    assert mixing.split_quotas([], [0] * 4).shape == (4, 0)
+    many = np.mean([mixing.split_quotas([50, 150], [100, 100], seed)[0, 0] for seed in range(300)])
     assert 24 < many < 26
 
 
+def test_leaves(spark):
+    """In two steps, as in one: leaves of equal size, quotas whole, draws of a source one after another."""
+    rng = random.Random(5)
+    quotas = [(f"1s{i}", rng.choice([0, 1, 17, 900]), 300, 2, None, None) for i in range(60)]
+    frame = spark.createDataFrame(quotas, "s_ string, quota long, n_blocks long, whole long, cut long, left double")
+    got = mixing.leaves(frame, 16).collect()
+    sums, ends = defaultdict(int), defaultdict(int)
+    for r in sorted(got, key=lambda r: (r["s_"], r["shard"])):
+        assert r["start"] == ends[r["s_"]]
+        ends[r["s_"]] += r["n"]
+        sums[r["shard"]] += r["n"]
+    assert all(ends[s] == q for s, q, *_ in quotas) and max(sums.values()) - min(sums.values()) <= 1
+
+
+def test_the_tree_gives_the_result(spark, monkeypatch):
+    """Every shard follows from the leaves: each pass draws a block once, whole passes draw all, and rows are taken as their blocks are."""
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 40)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 200)
+    df = spark.createDataFrame(corpus(3000, 4), SCHEMA)
+    seen = {}
+    plain = mixing.leaves
+    monkeypatch.setattr(mixing, "leaves", lambda q, *a: seen.setdefault("leaves", plain(q, *a).cache()))
+    rows = mixing.draws(df).collect()
+    shard_of = {}
+    for r in seen["leaves"].collect():
+        for at in range(r["start"], r["start"] + r["n"]):
+            turn, block = divmod(at, r["n_blocks"])
+            assert (r["s_"], turn, block) not in shard_of
+            shard_of[r["s_"], turn, block] = (r["shard"], r["whole"], r["cut"])
+    count = Counter(s for s, _ , _ in shard_of.values())
+    assert set(count) == set(range(16)) and max(count.values()) - min(count.values()) <= 1
+    cut_rows = 0
+    for r in rows:
+        s = "0" if r["source"] is None else "1" + r["source"]
+        expected = [(t, shard_of[s, t, r["block"]][0]) for t in range(4) if (s, t, r["block"]) in shard_of]
+        if list(zip(r["turns"], r["shards"])) != expected:
+            turn, (_, whole, cut) = expected[-1][0], shard_of[s, expected[-1][0], r["block"]]
+            assert list(zip(r["turns"], r["shards"])) == expected[:-1] and turn == whole and r["block"] == cut
+            cut_rows += 1
+    assert cut_rows < 60 and len({r["block"] for r in rows if r["source"] == "hot"}) > 80
+
+
 def test_edges(spark):
     assert mixing.taken(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "a b", "s", None, None), (None, "a b", "s", None, None)]
@@ -100,3 +143,14 @@ def test_mix_comes_shuffled(spark):
     beside = sum(a["source"] == b["source"] for a, b in zip(got, got[1:])) / len(got)
     shares = [sum(r["source"] == s for r in got) / len(got) for s in ("s0", "s1", "s2")]
     assert abs(beside - sum(x * x for x in shares)) < 0.06
+
+
+def test_clashing_names_long_texts_and_many_sources(spark):
+    rows = [(i, "w " * (200_000 if i == 5 else 3), f"s{i % 1500}", "x", "y", "z", "u") for i in range(3000)]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string, size string, key string, block string, shards string")).collect()
+    assert len(got) == 3000 and {r["size"] for r in got} == {3, 200_000}
+    words = defaultdict(int)
+    for r in rows:
+        words[r[2]] += len(r[1].split())
+    goal = fill(words)
+    assert all(r.target == pytest.approx(goal[rows[r.doc_id][2]]) for r in got)
