@@ -138,21 +138,22 @@ def unfolded(df: DataFrame, size: Column, name: str = "p_") -> DataFrame:
 HOT = 1024
 
 
-def looked_up(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined to ``keyed``, which has each ``key`` once and in ``n`` how many of ``rows`` have it.
+def looked_up(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str = "inner", renamed: str | None = None) -> DataFrame:
+    """``rows`` joined by ``key`` to ``keyed``, which has each key once, as ``renamed`` if that is given, and in ``n`` how many of ``rows`` have it.
 
     Keys of more than one in ``HOT`` of all those rows are fewer than ``HOT``, by arithmetic: they are sent to
     the rows. The rows of all other keys are dealt by key, where none of them is large.
     """
+    theirs = renamed or key
+    keyed = keyed.withColumnRenamed(theirs, "lineage_key_")
+    added = [c for c in keyed.columns if c != "lineage_key_"]
+    same = F.col(key) == F.col("lineage_key_")
     total, keys = keyed.agg(F.coalesce(F.sum(n), F.lit(0)), F.count("*")).first()
     if keys <= HOT:
-        side = F.broadcast(keyed.withColumnRenamed(key, "lineage_key_"))
-        return rows.join(side, F.col(key) == F.col("lineage_key_"), how).drop("lineage_key_")
+        return rows.join(F.broadcast(keyed), same, how).select(*rows.columns, *added)
     least = total // HOT + 1
     hot, cold = keyed.where(F.col(n) >= least), keyed.where(F.col(n) < least)
-    here = F.broadcast(hot.withColumn("lineage_hot_", F.lit(True)).withColumnRenamed(key, "lineage_key_"))
-    mine = rows.join(here, F.col(key) == F.col("lineage_key_"), "left")
-    added = [c for c in keyed.columns if c != key]
+    mine = rows.join(F.broadcast(hot.withColumn("lineage_hot_", F.lit(True))), same, "left")
     first = mine.where("lineage_hot_").select(*rows.columns, *added)
-    rest = mine.where("lineage_hot_ IS NULL").select(*rows.columns).join(cold.hint("merge").withColumnRenamed(key, "lineage_key_"), F.col(key) == F.col("lineage_key_"), how)
+    rest = mine.where("lineage_hot_ IS NULL").select(*rows.columns).join(cold.hint("merge"), same, how)
     return first.unionByName(rest.select(*rows.columns, *added))
