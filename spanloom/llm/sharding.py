@@ -1,46 +1,41 @@
 """K-d tree sharding, in DataFrame operations only.
 
-A node that has to become k leaves is split along its widest metadata dimension at the distributed
-weighted quantile that leaves each side bytes for its share of the k; leaves hold about the target
-bytes. The quantile is found digit by digit: each round counts the bytes of 2^11 bins of the crossing
-bin of every node at once, so what reaches the driver is bounded by leaves and bins, not by rows. Ties
-in a dimension are broken by a hash of the row, so any number of equal values splits evenly. The tree
-is then one expression over the row; rows are shuffled only for their slots.
+A node that has to become k leaves is split along its widest metadata dimension at the distributed weighted
+quantile that leaves each side bytes for its share of the k; leaves hold about the target bytes. A dimension
+is measured by the ranks of its values, so neither long common beginnings nor outliers flatten it.
+
+A level of the tree is one pass over narrow rows that carry the number of their node: the widths of all nodes
+in one aggregation, then one prefix sum of the bytes, by node, dimension and a hash of the row, from which
+every row knows the side it goes to. Ties in a dimension are broken by that hash, so any number of equal
+values splits evenly. Nothing but counts reaches the driver, whatever the number of leaves.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.lineage import indexed, prefix_sum
 from . import common
 
-COORD_BITS, TIE_BITS, DIGIT = 20, 24, 11
 #: Parts of a shard that are numbered apart.
 PARTS = 256
+#: Open nodes that are sent to the rows, one small row each; with more of them, no node holds more than a small share of the rows.
+FEW_NODES = 4096
 
 
-@dataclass
-class Node:
-    leaves: int
-    first: int  #: number of its first shard
-    test: Column | None  #: whether a row is in it
-    split: tuple[int, int] | None = None  #: dimension, and the first key that goes right
-    sides: tuple[Node, Node] | None = None
-
-
-def numeric(df: DataFrame, name: str) -> Column:
-    """A column as a number that orders as it does: text by its first seven bytes, null as the least."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double") + 1, F.lit(0.0))
-    if isinstance(kind, (T.DateType, T.TimestampType)):
-        return F.coalesce(F.unix_timestamp(name).cast("double"), F.lit(-1e18))
-    return F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(1e18)), F.lit(-1e18))
+def ranked(rows: DataFrame, dims: int) -> tuple[DataFrame, list[int]]:
+    """``rows`` with the ranks ``r0_``, ``r1_``, ... of the distinct values of ``x0_``, ``x1_``, ..., null as the least, and how many there are."""
+    out, counts = rows, []
+    for i in range(dims):
+        # a value is told from null by a struct, which also compares NaN as the greatest
+        values = rows.groupBy(F.struct(F.col(f"x{i}_").alias("v")).alias("key_")).agg(F.count("*").alias("n_"))
+        numbers = common.stored(indexed(values, [F.col("key_.v").asc_nulls_first()], f"r{i}_"), "shard-ranks")
+        counts.append(numbers.count())
+        out = common.looked_up(out.withColumn("own_", F.struct(F.col(f"x{i}_").alias("v"))), numbers.withColumnRenamed("n_", "n_rows_"), "own_", "n_rows_", renamed="key_").drop("own_", "n_rows_", f"x{i}_")
+        out = common.stored(out, "shard-rows")
+    return out, counts
 
 
 def shards(df: DataFrame, size: Column, dims: list[str], tie: Column, n_shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -53,83 +48,55 @@ def shards(df: DataFrame, size: Column, dims: list[str], tie: Column, n_shards:
     if not dims:
         raise ValueError("a k-d tree needs a dimension")
     base = df.drop("shard", "slot")
-    narrow = common.stored(base.withColumns({"size_": size.cast("long"), "tie_": tie} | {f"x{i}_": numeric(base, d) for i, d in enumerate(dims)}), "shards")
-    total, *ends = narrow.agg(F.sum("size_"), *[f(f"x{i}_") for i in range(len(dims)) for f in (F.min, F.max)]).first()
-    k = n_shards or max(1, -(-(total or 0) // target_bytes))
-    scale = [(ends[2 * i] or 0.0, (ends[2 * i + 1] or 0.0) - (ends[2 * i] or 0.0)) for i in range(len(dims))]
-    low = F.col("tie_").bitwiseAND(F.lit((1 << TIE_BITS) - 1))
-    top = (1 << COORD_BITS) - 1
-    coord = [F.least(F.floor((F.col(f"x{i}_") - a) / w * top), F.lit(top)).cast("long") if w else F.lit(0).cast("long") for i, (a, w) in enumerate(scale)]
-    keys = [F.shiftleft(c, TIE_BITS) + low for c in coord]
-    root = Node(k, 0, F.lit(True))
-    open_ = [root] if k > 1 and total else []
-    while open_:
-        node = F.lit(-1)
-        for i, n in enumerate(open_):
-            node = F.when(n.test, F.lit(i)).otherwise(node)
-        level = narrow.withColumn("node_", node).where("node_ >= 0")
-        spans = {r[0]: r for r in level.groupBy("node_").agg(F.sum("size_").alias("b"), *[f(c) for c in coord for f in (F.min, F.max)]).collect()}
-        dim, want = [], []
-        for i, n in enumerate(open_):
-            r = spans.get(i)
-            widths = [r[3 + 2 * d] - r[2 + 2 * d] for d in range(len(dims))] if r else [0]
-            dim.append(widths.index(max(widths)))
-            want.append((r[1] if r else 0) * (n.leaves // 2) / n.leaves)
-        key = keys[0]
-        for i, d in enumerate(dim):
-            key = F.when(F.col("node_") == i, keys[d]).otherwise(key)
-        prefix, before = [0] * len(open_), [0] * len(open_)
-        bits = COORD_BITS + TIE_BITS
-        keyed = level.withColumn("key_", key)
-        while bits > 0:
-            step = min(DIGIT, bits)
-            inside = F.lit(False)
-            for i in range(len(open_)):
-                inside = inside | ((F.col("node_") == i) & (F.shiftright("key_", bits) == prefix[i]))
-            bins = keyed.where(inside).groupBy("node_", F.shiftright("key_", bits - step).alias("bin")).agg(F.sum("size_").alias("b")).collect()
-            by: dict[int, list[tuple[int, int]]] = {}
-            for r in bins:
-                by.setdefault(r[0], []).append((r[1], r[2]))
-            bits -= step
-            for i in range(len(open_)):
-                have = sorted(by.get(i, [(prefix[i] << step, 0)]))
-                at = before[i]
-                for b, (bin_, weight) in enumerate(have):
-                    # the bin in which the wanted bytes are reached; at the last digit, the nearer end of it
-                    if at + (weight if bits else weight / 2) > want[i] or b == len(have) - 1:
-                        prefix[i], before[i] = bin_, at
-                        break
-                    at += weight
-        after = []
-        for i, n in enumerate(open_):
-            left = n.leaves // 2
-            n.split = (dim[i], prefix[i])
-            goes = keys[dim[i]] < F.lit(prefix[i])
-            n.sides = Node(left, n.first, n.test & goes), Node(n.leaves - left, n.first + left, n.test & ~goes)
-            after += [s for s in n.sides if s.leaves > 1]
-        open_ = after
-
-    def shard_of(n: Node) -> Column:
-        if n.sides is None:
-            return F.lit(n.first)
-        return F.when(keys[n.split[0]] < F.lit(n.split[1]), shard_of(n.sides[0])).otherwise(shard_of(n.sides[1]))
-
-    placed = narrow.withColumn("shard", shard_of(root).cast("int")).withColumn("part_", F.pmod(F.xxhash64("tie_"), F.lit(PARTS)))
-    return numbered(placed).select(*[F.col(c) for c in base.columns], "shard", "slot")
+    kept = [f"keep{i}_" for i in range(len(base.columns))]
+    rows = base.withColumns({"size_": size.cast("long"), "tie_": tie.cast("long")} | {f"x{i}_": F.col(d) for i, d in enumerate(dims)})
+    rows = common.stored(rows.toDF(*kept, *rows.columns[len(kept) :]), "shards")
+    total = rows.agg(F.coalesce(F.sum("size_"), F.lit(0))).first()[0]
+    k = n_shards or max(1, -(-total // target_bytes))
+    if total:
+        rows, counts = ranked(rows, len(dims))
+    rows = rows.withColumns({"first_": F.lit(0).cast("long"), "leaves_": F.lit(k).cast("long")})
+    nodes, finished = 1, []
+    while k > 1 and total:
+        done = rows.where("leaves_ = 1")
+        finished.append(done.drop("leaves_", *[f"r{i}_" for i in range(len(dims))]))
+        rows = rows.where("leaves_ > 1")
+        spans = rows.groupBy("first_", "leaves_").agg(F.sum("size_").alias("bytes_"), *[((F.max(f"r{i}_") - F.min(f"r{i}_")) / max(1, n - 1)).alias(f"w{i}_") for i, n in enumerate(counts)])
+        widest = F.greatest(*[F.col(f"w{i}_") for i in range(len(dims))]) if len(dims) > 1 else F.col("w0_")
+        dim = F.coalesce(*[F.when(F.col(f"w{i}_") == widest, F.lit(i)) for i in range(len(dims))])
+        left = F.expr("leaves_ div 2")
+        plan = spans.select(F.col("first_").alias("node_"), dim.alias("dim_"), left.alias("left_"), (F.col("bytes_") * left / F.col("leaves_")).alias("want_"))
+        at = rows.join(F.broadcast(plan) if nodes <= FEW_NODES else plan.hint("merge"), F.col("first_") == F.col("node_")).drop("node_")
+        key = F.coalesce(*[F.when(F.col("dim_") == i, F.col(f"r{i}_")) for i in range(len(dims))])
+        summed = prefix_sum(at.withColumn("key_", key), F.col("size_"), ["key_", "tie_", "size_"], "before_", ("first_",))
+        goes = F.col("before_") + F.col("size_") / 2 < F.col("want_")
+        moved = summed.withColumns({"first_": F.when(goes, F.col("first_")).otherwise(F.col("first_") + F.col("left_")), "leaves_": F.when(goes, F.col("left_")).otherwise(F.col("leaves_") - F.col("left_"))})
+        rows = common.stored(moved.drop("dim_", "left_", "want_", "key_", "before_"), "shard-level")
+        nodes *= 2
+        if rows.where("leaves_ > 1").isEmpty():
+            break
+    placed = rows.drop("leaves_", *[f"r{i}_" for i in range(len(dims))], *[f"x{i}_" for i in range(len(dims))])
+    for part in finished:
+        placed = placed.unionByName(part)
+    placed = placed.withColumn("shard", F.col("first_").cast("int")).withColumn("part_", F.pmod(F.xxhash64("tie_"), F.lit(PARTS)))
+    return numbered(placed).select(*[F.col(c).alias(name) for c, name in zip(kept, base.columns, strict=True)], "shard", "slot")
 
 
 def numbered(placed: DataFrame) -> DataFrame:
     """A gapless ``slot`` from 0 in each shard: parts of a shard are numbered side by side and then shifted by what stands before them."""
-    from pyspark.sql import Window as W
-
     counts = placed.groupBy("shard", "part_").agg(F.count("*").alias("n_"))
     starts = counts.select(F.col("shard").alias("s_"), F.col("part_").alias("p_"), (F.sum("n_").over(W.partitionBy("shard").orderBy("part_")) - F.col("n_")).alias("start_"))
-    ranked = placed.withColumn("rank_", F.row_number().over(W.partitionBy("shard", "part_").orderBy("tie_", "size_")))
-    return ranked.join(starts, (F.col("shard") == F.col("s_")) & (F.col("part_") == F.col("p_"))).withColumn("slot", (F.col("start_") + F.col("rank_") - 1).cast("long"))
+    rank = placed.withColumn("rank_", F.row_number().over(W.partitionBy("shard", "part_").orderBy("tie_", "size_")))
+    return rank.join(starts, (F.col("shard") == F.col("s_")) & (F.col("part_") == F.col("p_"))).withColumn("slot", (F.col("start_") + F.col("rank_") - 1).cast("long"))
 
 
 def documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
-    """Shards of near-equal bytes over (doc_id, text, source, lang). A null text has no bytes and crc32 0; every row counts one byte more."""
+    """Shards of near-equal bytes over (doc_id, text, source, lang); a row for each row.
+
+    A null text has no bytes and crc32 0; every row counts one byte more, so empty texts are dealt out too. A
+    text of any length lies in one shard, which it may fill. Equal rows go wherever their bytes fit; null ids,
+    sources and languages sort first. Columns besides are left out; an empty table gives no rows.
+    """
     plain = common.pick(docs, "doc_id", "text", "lang", "source")
     text = F.coalesce("text", F.lit("")).cast("binary")
     row = plain.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("doc_id", "text").alias("tie"))
