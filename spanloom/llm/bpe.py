@@ -4,8 +4,10 @@ A text is split by a pattern; each piece that is itself a token is that token. T
 distinct pieces are sorted into buckets by length and stand as padded rows of a matrix. In each round
 every row merges its leftmost pair of least rank; rows without a pair that merges leave the matrix.
 Whether and to what a pair merges is looked up in a hash table over pairs of ids, whose key holds
-whenever the joined bytes are a token, however the token itself came about. Pieces over ``LONG`` bytes
-go through a heap instead, as a row of the matrix would cost the square of its length.
+whenever the joined bytes are a token, however the token itself came about. Rows of up to ``WIDE`` bytes are
+compacted in every round. Wider ones keep the places of merged ids open, linked past, with the least rank
+of every block of columns, so that a round looks at few columns of a row; they are compacted whenever half of
+their places are open.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-LONG = 256
+#: Bytes of the widest rows that are compacted in every round, columns of a block of wider ones, and places of one matrix of these.
+WIDE, COLUMNS, PLACES = 256, 64, 1 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -95,17 +97,21 @@ class Ranks:
         counts[rest[size == 0]] = 0
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         low = 0
-        for high in (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, LONG):
+        for high in (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, WIDE):
             rows = rest[(size > low) & (size <= high)]
             low = high
             if len(rows):
                 ids, n = self._matrix([pieces[i] for i in rows], high)
                 found.append((rows, ids, n))
                 counts[rows] = n
-        for i in rest[size > LONG]:
-            ids = self._heap(pieces[i])
-            found.append((np.array([i]), ids[None, :], np.array([len(ids)])))
-            counts[i] = len(ids)
+        while (size > low).any():
+            high = 2 * low
+            rows, low = rest[(size > low) & (size <= high)], high
+            for k in range(0, len(rows), max(1, PLACES // high)):
+                some = rows[k : k + max(1, PLACES // high)]
+                ids, n = self._wide([pieces[i] for i in some], high)
+                found.append((some, ids, n))
+                counts[some] = n
         offsets = np.concatenate(([0], np.cumsum(counts)))
         out = np.empty(offsets[-1], dtype=np.int32)
         hit = direct >= 0
@@ -154,32 +160,53 @@ class Ranks:
                 break
         return out, n
 
-    def _heap(self, piece: bytes) -> np.ndarray:
-        ids = self.bytes_[np.frombuffer(piece, dtype=np.uint8)].tolist()
-        size = len(ids)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        first = self.pairs.get(np.array(ids[:-1], dtype=np.int32), np.array(ids[1:], dtype=np.int32)).tolist()
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        lookup = self._pair
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= size or ids[j] != b:
-                continue
-            ids[i], ids[j] = rank, -1
-            after[i] = after[j]
-            if after[j] < size:
-                before[after[j]] = i
-                if (r := lookup(rank, ids[after[i]])) != NONE:
-                    heapq.heappush(heap, (r, i, rank, ids[after[i]]))
-            if before[i] >= 0 and (r := lookup(ids[before[i]], rank)) != NONE:
-                heapq.heappush(heap, (r, before[i], ids[before[i]], rank))
-        return np.array([x for x in ids if x >= 0], dtype=np.int32)
-
-    def _pair(self, a: int, b: int) -> int:
-        s, n = self.spelling, self.lengths
-        return self.ranks.get(s[self.starts[a] : self.starts[a] + n[a]].tobytes() + s[self.starts[b] : self.starts[b] + n[b]].tobytes(), NONE)
+    def _wide(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_matrix`` for rows of very many columns."""
+        n = np.array([len(p) for p in pieces], dtype=np.int64)
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(len(pieces), width)
+        ids = np.where(np.arange(width)[None, :] < n[:, None], self.bytes_[raw], -1).astype(np.int32)
+        out, row = np.full(ids.shape, -1, dtype=np.int32), np.arange(len(pieces))
+        while len(row):
+            ids, done = self._merged(ids, n, row)
+            out[row[done], : ids.shape[1]] = ids[done]
+            ids, row = ids[~done], row[~done]
+        return out, n
+
+    def _merged(self, ids: np.ndarray, n: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rounds over rows without open places, until half of the places of some row are open: compacted rows, and which of them have no pair left; ``n`` is counted down."""
+        rows, width = ids.shape[0], -(-ids.shape[1] // COLUMNS) * COLUMNS
+        wide = np.full((rows, width + 1), -1, dtype=np.int32)
+        wide[:, : ids.shape[1]] = ids
+        ranks = np.full((rows, width), NONE, dtype=np.int32)
+        ranks[:] = self.pairs.get(wide[:, :-1].ravel(), wide[:, 1:].ravel()).reshape(rows, width)
+        least = ranks.reshape(rows, -1, COLUMNS).min(axis=2)
+        after, before = np.tile(np.arange(1, width + 2), (rows, 1)), np.tile(np.arange(-1, width), (rows, 1))
+        live, left = np.arange(rows), max(1, int(n[row].min()) // 2)
+        for _ in range(left):
+            block = least[live].argmin(axis=1)
+            going = least[live, block] != NONE
+            live, block = live[going], block[going]
+            if not len(live):
+                break
+            at = block * COLUMNS + ranks.reshape(rows, -1, COLUMNS)[live, block].argmin(axis=1)
+            best = ranks[live, at]
+            gone = after[live, at]
+            right = after[live, gone]
+            wide[live, at], wide[live, gone] = best, -1
+            after[live, at] = right
+            before[live, np.minimum(right, width - 1)] = np.where(right < width, at, before[live, np.minimum(right, width - 1)])
+            ranks[live, gone] = NONE
+            ranks[live, at] = np.where(right < width, self.pairs.get(best, wide[live, np.minimum(right, width)]), NONE)
+            left_ = before[live, at]
+            has = left_ >= 0
+            ranks[live[has], left_[has]] = self.pairs.get(wide[live[has], left_[has]], best[has])
+            for col in (at, gone, np.maximum(left_, 0)):
+                least[live, col // COLUMNS] = ranks.reshape(rows, -1, COLUMNS)[live, col // COLUMNS].min(axis=1)
+            n[row[live]] -= 1
+        done = (least == NONE).all(axis=1)
+        order = np.argsort(wide[:, :-1] < 0, axis=1, kind="stable")
+        packed = np.take_along_axis(wide[:, :-1], order, 1)
+        return packed[:, : max(1, int(n[row].max()))], done
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all segments of ids, and the offsets of each segment."""
@@ -242,7 +269,12 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def digests(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
-    """For each row of (doc_id, text): encode, decode, and digest both; with ``ids`` the ids too. Null texts count as empty."""
+    """For each row of (doc_id, text): encode, decode, and digest both; with ``ids`` the ids too.
+
+    Null texts count as empty; an empty text has no ids, and its digests are those of no bytes. Equal rows each
+    give a row, a null doc_id stays null, texts of any length are encoded whole, and other columns, clashing
+    names among them, are ignored. An empty table gives no rows.
+    """
     with_ids = ids
 
     def step(batch: pa.RecordBatch) -> dict:

@@ -56,3 +56,13 @@ def test_frames(spark, library):
     assert bpe.digests(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
     with pytest.raises(Exception, match="vocabulary"):
         bpe.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), PATH).collect()
+
+
+def test_very_long_pieces(library):
+    """Pieces of 257 to 100,000 bytes: one word, one run of spaces, words of few letters, and characters of several bytes."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for n in (257, 300, 511, 512, 513, 1024, 4097) for a in ("ab", "etaoinshr", "éü日本", "aA1")]
+    texts += ["ab" * 50_000, " " * 100_000 + "x", "the" * 20_000, "".join(rng.choice("etaoin") for _ in range(100_000)), "\n" * 9000]
+    got, back = ours(texts)
+    assert got == [library.encode_ordinary(t) for t in texts]
+    assert back == [t.encode() for t in texts]
