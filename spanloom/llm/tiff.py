@@ -20,8 +20,10 @@ from . import common
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 #: Bytes of the field types 1 to 18 that can hold whole numbers.
 KINDS = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 13: ("I", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
-#: Pixels of the largest page that is decoded; what claims more is reported as broken.
-MOST_PIXELS = 1 << 28
+#: Samples of the largest page that is decoded, unless the caller says otherwise: a page is one value of a row.
+MOST_SAMPLES = 1 << 28
+#: What a broken part of a file raises.
+BROKEN = (ValueError, struct.error, IndexError, zlib.error, KeyError, ZeroDivisionError)
 
 
 @dataclass
@@ -172,15 +174,24 @@ def unpredict(block: np.ndarray, order: str, bits: int, samples: int, width: int
     return np.ascontiguousarray(rows.astype(f"<u{size}")).reshape(len(block), -1).view(np.uint8)
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
-    """The pages of a file in the order of its image directories; raises ValueError where it is broken."""
+@dataclass
+class Lost:
+    """A page that cannot be decoded, and why; its sizes, if they can be read."""
+
+    error: str
+    width: int | None = None
+    height: int | None = None
+
+
+def read_pages(data: bytes, most_samples: int = MOST_SAMPLES) -> Iterator[Page | Lost]:
+    """The pages of a file in the order of its image directories, and what is lost; raises ValueError where the directories themselves are broken."""
     try:
-        yield from _walk(data)
-    except (struct.error, IndexError, zlib.error, KeyError, ZeroDivisionError) as e:
+        yield from _walk(data, most_samples)
+    except BROKEN as e:
         raise ValueError(f"broken file: {e}") from e
 
 
-def _walk(data: bytes) -> Iterator[Page]:
+def _walk(data: bytes, most_samples: int) -> Iterator[Page | Lost]:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None:
         raise ValueError("no TIFF byte order")
@@ -212,12 +223,16 @@ def _walk(data: bytes) -> Iterator[Page]:
             if count * size > slot:
                 where = struct.unpack(order + ("Q" if big else "I"), data[where : where + slot])[0]
             tags[tag] = list(struct.unpack(f"{order}{count}{code}", data[where : where + count * size]))
-        yield _page(data, order, tags)
+        try:
+            page: Page | Lost = _page(data, order, tags, most_samples)
+        except BROKEN as e:
+            page = Lost(str(e), *(tags.get(t, [None])[0] for t in (256, 257)))
+        yield page
         end = p + n * step
         at = struct.unpack(order + ("Q" if big else "I"), data[end : end + slot])[0]
 
 
-def _page(data: bytes, order: str, tags: dict[int, list[int]]) -> Page:
+def _page(data: bytes, order: str, tags: dict[int, list[int]], most_samples: int) -> Page:
     def tag(t: int, default: int) -> int:
         return tags.get(t, [default])[0]
 
@@ -226,11 +241,13 @@ def _page(data: bytes, order: str, tags: dict[int, list[int]]) -> Page:
     if len(depths) != 1:
         raise ValueError("samples of different depths")
     bits, planar, tiled = depths.pop(), tag(284, 1) == 2, 322 in tags
-    if not 0 < width * height * samples <= MOST_PIXELS or bits not in (1, 2, 4, 8, 16, 24, 32, 64):
+    if width * height * samples > most_samples:
+        raise ValueError(f"a page of {width * height * samples} samples, more than the {most_samples} asked for")
+    if width * height * samples <= 0 or bits not in (1, 2, 4, 8, 16, 24, 32, 64):
         raise ValueError("sizes out of range")
     offsets, counts = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
     bw, bh = (tags[322][0], tags[323][0]) if tiled else (width, min(tag(278, height), height))
-    if bw <= 0 or bh <= 0 or bw * bh * samples > MOST_PIXELS:
+    if bw <= 0 or bh <= 0 or bw * bh * samples > 4 * max(most_samples, 1 << 20):
         raise ValueError("sizes out of range")
     across, down, own = -(-width // bw), -(-height // bh), 1 if planar else samples
     planes = samples if planar else 1
@@ -312,28 +329,34 @@ def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
 PAGES = "page int, width int, height int, samples int, bits int, compression int, predictor int, photometric int, tiled boolean, data binary, error string"
 
 
-def pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
+def pages(df: DataFrame, id_col: str, media_col: str, most_samples: int = MOST_SAMPLES) -> DataFrame:
     """A row for each page of the files in ``media_col``: ``id_col``, page from 0, sizes, and the samples as bytes.
 
-    A null file has no pages. A broken one gives the pages before the damage and then a row whose only
-    values are id, page and error. Equal rows each give their pages; other columns are ignored.
+    A null file has no pages. A page that is broken, or of more samples than ``most_samples``, gives a row with
+    its error and without samples, and the pages after it follow; where the chain of directories itself is
+    broken, the last row has only id, page and error. Equal rows each give their pages; other columns are ignored.
     """
     plain = common.pick(df, id_col, media_col).toDF("id_", "media")
     names = [x.split()[0] for x in PAGES.split(", ")]
 
     def step(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("id_", *names)}
+
+        def add(*row) -> None:
+            for k, v in zip(out, row, strict=True):
+                out[k].append(v)
+
         for key, media in zip(batch.column("id_").to_pylist(), batch.column("media").to_pylist(), strict=True):
             number = 0
             try:
-                for p in read_pages(media) if media is not None else ():
-                    row = (key, number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.photometric, p.tiled, p.data, None)
-                    for k, v in zip(out, row, strict=True):
-                        out[k].append(v)
+                for p in read_pages(media, most_samples) if media is not None else ():
+                    if isinstance(p, Lost):
+                        add(key, number, p.width, p.height, *[None] * 7, p.error)
+                    else:
+                        add(key, number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.photometric, p.tiled, p.data, None)
                     number += 1
             except ValueError as e:
-                for k, v in zip(out, (key, number, *[None] * 9, str(e)), strict=True):
-                    out[k].append(v)
+                add(key, number, *[None] * 9, str(e))
         return out
 
     return common.map_slices(plain, step, f"id_ {plain.schema['id_'].dataType.simpleString()}, {PAGES}", by="media").withColumnRenamed("id_", id_col)
@@ -350,7 +373,12 @@ def from_bytes(payload: bytes) -> bytes:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Stores each text's padded bytes as a file, reads the file back, and gives digests and features of what it read. Null texts count as empty."""
+    """Stores each text's padded bytes as a file, reads the file back, and gives digests and features of what it read.
+
+    Null and empty texts are 192 spaces; texts of any length are stored whole, over as many pages as they need.
+    Equal texts have equal values, equal rows each give a row; other columns, clashing names among them, are
+    ignored, and an empty table gives no rows.
+    """
     import hashlib
 
     def step(batch: pa.RecordBatch) -> dict:

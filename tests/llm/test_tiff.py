@@ -84,3 +84,22 @@ def test_digests(spark):
         padded = raw + b" " * (-len(raw) % 192 if raw else 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
         assert r.media_sha256 == hashlib.sha256(tiff.from_bytes(padded)).hexdigest()
+
+
+def test_pages_after_a_lost_one_follow(spark):
+    image = np.arange(64 * 3 * 4, dtype=np.uint8).reshape(4, 64, 3)
+    data = bytearray(tiff.write_pages([image, image, np.zeros((90, 64, 3), dtype=np.uint8), image]))
+    second = [m for m in range(len(data) - 8) if struct.unpack_from("<HHI", data, m)[:3] == (259, 4, 1)][1]
+    struct.pack_into("<I", data, second + 8, 7)  # a compression that is not known
+    got = list(tiff.read_pages(bytes(data), most_samples=5000))
+    assert [type(p).__name__ for p in got] == ["Page", "Lost", "Lost", "Page"]
+    assert "compression 7" in got[1].error and "17280 samples" in got[2].error and (got[2].width, got[2].height) == (64, 90)
+    rows = tiff.pages(spark.createDataFrame([(1, bytes(data))], "k long, media binary"), "k", "media").orderBy("page").collect()
+    assert [(r.page, r.error is None) for r in rows] == [(0, True), (1, False), (2, True), (3, True)]
+
+
+def test_digests_of_repeats_clashes_and_nothing(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (2, "a", "z")], "doc_id long, text string, n_bytes string")
+    got = [tuple(r) for r in tiff.digests(df).collect()]
+    assert len(got) == 3 and len({r[:-1] if isinstance(r[-1], int) else r[1:] for r in got}) == 1
+    assert tiff.digests(df.limit(0)).count() == 0
