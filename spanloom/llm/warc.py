@@ -27,6 +27,8 @@ from . import common
 
 PACKAGE_BYTES = 16 << 20
 RANGE_BYTES = 4 << 20
+#: Packages that one task reads at most.
+PACKAGES = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -52,7 +54,10 @@ class Package:
         self.members: dict[str, tuple[int, int, int]] = {}  # name: (offset of the local header, stored size, method)
         tail_at = max(0, size - 65557)
         tail = read(tail_at, size - tail_at)
+        # a comment may hold the mark too; the record is the one whose comment ends with the file
         at = tail.rfind(b"PK\x05\x06")
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack("<H", tail[at + 20 : at + 22])[0] != len(tail)):
+            at = tail.rfind(b"PK\x05\x06", 0, at)
         if at < 0:
             raise ValueError("no end of central directory")
         count, length, start = struct.unpack("<HII", tail[at + 10 : at + 20])
@@ -184,10 +189,9 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, package_bytes: int
     store.create_dir(name, recursive=True)
     plain = common.pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("sha", F.sha1("html"))
     sized = F.octet_length("html") >= min_bytes
-    firsts = common.stored(plain.where(sized).groupBy(F.col("sha").alias("sha_")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-firsts")
-    joined = plain.join(firsts, F.col("sha") == F.col("sha_"), "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.unhex("sha").alias("sha"), F.col("first").cast("string").alias("first"), (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > common.BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
+    firsts = common.stored(plain.where(sized).groupBy(F.col("sha").alias("sha_")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "warc-firsts")
+    # one payload may be that of a third of all pages
+    joined = common.looked_up(plain, firsts, "sha", "n", "left", renamed="sha_").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.unhex("sha").alias("sha"), F.col("first").cast("string").alias("first"), (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys, size = [], [], 0
@@ -252,5 +256,6 @@ def read(manifest: DataFrame, payload: bool = True) -> DataFrame:
                     yield flush(rows)
 
     files = manifest.select("path")
-    spread = files.repartition(max(1, min(4096, files.count())))
-    return spread.mapInArrow(run, schema)
+    n = files.count()
+    tasks = max(1, min(n, manifest.sparkSession.sparkContext.defaultParallelism), -(-n // PACKAGES))
+    return files.repartition(tasks).mapInArrow(run, schema)

@@ -85,3 +85,27 @@ def test_compressed_members_and_damage_are_errors():
         package.place("archive/a")
     with pytest.raises(ValueError, match="central directory"):
         warc.Package(lambda a, n: b"x" * n, 100)
+
+
+def test_the_mark_of_the_end_in_a_comment():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("archive/a", b"body")
+        z.comment = b"a comment with PK\x05\x06 in it and more than twenty-two bytes behind"
+    data = out.getvalue()
+    package = warc.Package(lambda at, n: data[at : at + n], len(data))
+    at, n = package.place("archive/a")
+    assert data[at : at + n] == b"body"
+
+
+def test_one_payload_of_very_many_pages(spark, monkeypatch):
+    from spanloom.functions import lineage
+
+    monkeypatch.setattr(lineage, "HOT", 4)
+    rows = [(i, f"u{i}", None if i % 3 == 0 else f"page {i % 40}") for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    back = warc.read(warc.write(df, lineage.fresh(spark, "warc")), payload=False).collect()
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, i)
+    assert sorted((int(r.page_id), r.refers_to and int(r.refers_to)) for r in back) == [(i, None if first[h] == i else first[h]) for i, _, h in rows]
