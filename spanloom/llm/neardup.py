@@ -94,6 +94,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def kind_of(docs: DataFrame) -> str:
+    """The type of doc_id, which may be any that orders."""
+    return common.pick(docs, "doc_id").schema[0].dataType.simpleString()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_id, sig) of every document."""
 
@@ -105,8 +110,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             sigs.append(signature(s) if len(s) else None)
         return {"doc_id": batch.column("doc_id"), "n_shingles": n, "set_id": ids, "sig": sigs}
 
-    plain = common.pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return common.map_slices(plain, step, "doc_id long, n_shingles long, set_id binary, sig binary")
+    return common.map_slices(common.pick(docs, "doc_id", "text"), step, f"doc_id {kind_of(docs)}, n_shingles long, set_id binary, sig binary")
 
 
 def keyed(classes: DataFrame) -> DataFrame:
@@ -124,10 +128,10 @@ def with_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def step(batch: pa.RecordBatch) -> dict:
         return {"id": batch.column("doc_id"), "set": [s.tobytes() for s in sets_of(common.texts_of(batch))]}
 
-    plain = common.pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    plain = common.pick(docs, "doc_id", "text")
     # the ids grow with the corpus, so they are never broadcast, however few they are here
     wanted = plain.join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    return common.map_slices(wanted, step, "id long, set binary")
+    return common.map_slices(wanted, step, f"id {kind_of(docs)}, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -141,7 +145,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         part = batch.filter(pa.array(keep, type=pa.bool_()))
         return {"a": part.column("a"), "b": part.column("b")}
 
-    return common.map_slices(both, step, "a long, b long", by="weight")
+    kind = both.schema["a"].dataType.simpleString()
+    return common.map_slices(both, step, f"a {kind}, b {kind}", by="weight")
 
 
 def block_links(frame: pd.DataFrame) -> pd.DataFrame:
@@ -156,7 +161,7 @@ def block_links(frame: pd.DataFrame) -> pd.DataFrame:
         sides.append((sets, np.array([len(s) for s in sets]), part["component"].to_numpy()))
     (sa, na, ca), (sb, nb, cb) = sides
     if not len(sa):
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        return pd.DataFrame({"a": ca, "b": ca})
     tokens = np.intersect1d(np.concatenate(sa), np.concatenate(sb))
     both = np.zeros((len(sa), len(sb)), dtype=np.float32)
 
@@ -172,8 +177,8 @@ def block_links(frame: pd.DataFrame) -> pd.DataFrame:
         some = tokens[i : i + 8192]
         both += incidence(sa, some) @ incidence(sb, some).T
     hit = (100 * both >= PERCENT * (na[:, None] + nb[None, :] - both)) & (ca[:, None] != cb[None, :])
-    found = {(int(min(x, y)), int(max(x, y))) for x, y in zip(ca[np.nonzero(hit)[0]], cb[np.nonzero(hit)[1]], strict=True)}
-    return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+    found = sorted({(min(x, y), max(x, y)) for x, y in zip(ca[np.nonzero(hit)[0]], cb[np.nonzero(hit)[1]], strict=True)})
+    return pd.DataFrame({"a": np.array([x for x, _ in found], dtype=ca.dtype), "b": np.array([y for _, y in found], dtype=ca.dtype)})
 
 
 def rest(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -193,9 +198,10 @@ def rest(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFr
         each = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("set").to_pylist()]
         n = [len(s) for s in each]
         flat = np.concatenate(each) if each else np.zeros(0, dtype=np.uint64)
-        return {"id": np.repeat(batch.column("id").to_numpy(), n), "n": np.repeat(n, n), "shingle": flat.view(np.int64)}
+        return {"id": batch.column("id").take(pa.array(np.repeat(np.arange(len(n)), n))), "n": np.repeat(n, n), "shingle": flat.view(np.int64)}
 
-    rows = common.map_slices(close.select("id", "set"), spread, "id long, n long, shingle long", by="set", most=1 << 20)
+    kind = close.schema["id"].dataType.simpleString()
+    rows = common.map_slices(close.select("id", "set"), spread, f"id {kind}, n long, shingle long", by="set", most=1 << 20)
     often = stored(rows.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1"), "neardup-often")
     shared = rows.join(often, "shingle")
     rank = F.row_number().over(W.partitionBy("id").orderBy("f", "shingle"))
@@ -210,7 +216,7 @@ def rest(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFr
     x = x.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x = x.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "set")
-    return x.groupBy("g", "i", "j").applyInPandas(lambda f: block_links(f[["side", "id", "component", "set"]]), "a long, b long")
+    return x.groupBy("g", "i", "j").applyInPandas(lambda f: block_links(f[["side", "id", "component", "set"]]), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -227,7 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(keys.join(buckets, "key"), "neardup-members")
     central = members.groupBy("id").agg(F.sum("n").alias("central"))
     ranked = stored(members.select("key", "id").join(central, "id"), "neardup-ranked")
-    leaders = stored(ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("m"))).alias("top")).select("key", (-F.col("top.m")).alias("b")), "neardup-leaders")
+    leaders = stored(ranked.groupBy("key").agg(F.min(F.struct((-F.col("central")).alias("m"), "id")).alias("top")).select("key", F.col("top.id").alias("b")), "neardup-leaders")
     pairs = stored(ranked.select("key", F.col("id").alias("a")).join(leaders, "key").where("a <> b").select("a", "b").distinct(), "neardup-pairs")
     sets = stored(with_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "neardup-sets")
     links = stored(confirmed(pairs, sets), "neardup-links")

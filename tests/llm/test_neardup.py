@@ -59,3 +59,12 @@ def test_nulls_and_repeats(spark):
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, kept int")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (9, 2, 4, False), (None, 1, None, True), (None, 0, None, True)], key=str)
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_of_text_and_long_texts(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    near = base[:50_000] + ["other"] + base[50_001:]
+    rows = [("b", " ".join(base)), ("a", " ".join(near)), ("c", "far from these"), ("d", " ".join(base[:20_000]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")]
