@@ -18,6 +18,8 @@ from spanloom.llm.common import fresh, is_word, pick, table
 from spanloom.llm.queries import BYTE_BPE, PIECES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Numbers of rows without doc_id begin here; ids lie below.
+NO_ID = 1 << 62
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +36,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id; of rows that repeat it, one."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    """One document of each group of near-duplicates: that with the smallest doc_id; of rows that repeat it, one.
+
+    A row without doc_id stands behind all that have one, under a number made of its text.
+    """
     plain = pick(docs, *COLUMNS)
-    out = plain.join(kept, plain["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    number = F.coalesce(F.col("doc_id"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)).alias("number")
+    kept = neardup.near_duplicates(plain.select(number.alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = plain.select("*", number)
+    return rows.join(kept, F.col("number") == F.col("kept_id"), "left_semi").dropDuplicates(["number", "text"]).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, in the shuffled order of the mix: shard by shard, which the written files keep."""
     return mixing.mix(docs, COLUMNS).select(*COLUMNS)
 
 
