@@ -107,15 +107,22 @@ def indexed(df: DataFrame, order: list, name: str = "i", within: tuple[str, ...]
     return _shifted(ranged, shift, keys).withColumn(name, (F.col("lineage_own_") + F.col("lineage_shift_") + start).cast("long")).select(*df.columns, name)
 
 
+def prefix_sums(df: DataFrame, values: dict[str, Column], order: list, within: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with, for each name of ``values``, the sum of its value over the rows before each, in the order of ``order``, within each group of ``within``."""
+    keys, names = list(within), list(values)
+    ranged = _ranged(df.withColumns({f"lineage_v{i}_": v.cast("long") for i, v in enumerate(values.values())}), keys, order)
+    sums = ranged.groupBy(*keys, "lineage_part_").agg(*[F.sum(f"lineage_v{i}_").alias(f"lineage_n{i}_") for i in range(len(names))])
+    before = W.partitionBy(*keys).orderBy("lineage_part_")
+    shift = sums.select(*keys, "lineage_part_", *[(F.sum(f"lineage_n{i}_").over(before) - F.col(f"lineage_n{i}_")).alias(f"lineage_shift{i}_") for i in range(len(names))])
+    part = W.partitionBy("lineage_part_", *keys).orderBy("lineage_own_").rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = ranged.withColumns({f"lineage_sum{i}_": F.sum(f"lineage_v{i}_").over(part) - F.col(f"lineage_v{i}_") for i in range(len(names))})
+    at = [(F.col(f"lineage_shift{i}_") + F.col(f"lineage_sum{i}_")).cast("long").alias(name) for i, name in enumerate(names)]
+    return _shifted(own, shift, keys).select(*df.columns, *at)
+
+
 def prefix_sum(df: DataFrame, value: Column, order: list, name: str, within: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows before each, in the order of ``order``, within each group of ``within``."""
-    keys = list(within)
-    ranged = _ranged(df.withColumn("lineage_v_", value.cast("long")), keys, order)
-    sums = ranged.groupBy(*keys, "lineage_part_").agg(F.sum("lineage_v_").alias("lineage_n_"))
-    shift = sums.withColumn("lineage_shift_", F.sum("lineage_n_").over(W.partitionBy(*keys).orderBy("lineage_part_")) - F.col("lineage_n_")).drop("lineage_n_")
-    within_part = W.partitionBy("lineage_part_", *keys).orderBy("lineage_own_").rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = ranged.withColumn("lineage_sum_", F.sum("lineage_v_").over(within_part) - F.col("lineage_v_"))
-    return _shifted(own, shift, keys).withColumn(name, (F.col("lineage_shift_") + F.col("lineage_sum_")).cast("long")).select(*df.columns, name)
+    return prefix_sums(df, {name: value}, order, within)
 
 
 #: Rows that one row is unfolded into at a time.

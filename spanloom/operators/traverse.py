@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, indexed, stored
 from ..plans.term import Term
 from .diagram import Diagram
 
@@ -28,23 +28,28 @@ def node_adjacency(d: Diagram) -> DataFrame:
     return a.join(b, ["gid", "edge"]).select("gid", "src", "dst")
 
 
-def _rounds(need: DataFrame, after: Callable[[DataFrame], DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
-    """Layers of (gid, key, need) in rounds: those that need nothing go, and lower what ``after`` (gid, key, less) says."""
-    layers, depth = [], 0
-    rest = cut(need)
-    while True:
-        frontier = rest.where("need = 0").select("gid", key)
-        if frontier.isEmpty():
-            break
-        layers.append(frontier.withColumn("layer", F.lit(depth).cast("long")))
-        less = after(frontier)
-        rest = cut(rest.where("need > 0").join(less, ["gid", key], "left").select("gid", key, (F.col("need") - F.coalesce("less", F.lit(0))).alias("need")))
-        depth += 1
-    stuck = rest.select("gid", key)
-    done = reduce(DataFrame.unionByName, layers) if layers else stuck.withColumn("layer", F.lit(0).cast("long"))
-    if not layers:
-        done = done.limit(0)
-    return done, stuck
+def _rounds(need: DataFrame, after: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """(gid, key, layer, stuck) of (gid, key, need) in rounds: those that need nothing go, and ``after`` (gid, key, less) says what that lowers.
+
+    A round touches what it lowers and what was lowered before but waits on, and not all that is left.
+    """
+    need = stored(need, "need")
+    waiting = need.where("need > 0")
+    layers, partial, left = [], None, need.count()
+    frontier = need.where("need = 0").select("gid", key)
+    n = frontier.count()
+    while n:
+        layers.append(frontier.withColumn("layer", F.lit(len(layers)).cast("long")))
+        left -= n
+        got = after(frontier)
+        got = got if partial is None else got.unionByName(partial)
+        state = cut(got.groupBy("gid", key).agg(F.sum("less").alias("less")).join(waiting, ["gid", key]))
+        frontier, partial = state.where("less = need").select("gid", key), state.where("less < need").select("gid", key, "less")
+        n = frontier.count()
+    none = need.select("gid", key).limit(0)
+    done = reduce(DataFrame.unionByName, layers) if layers else none.withColumn("layer", F.lit(0).cast("long"))
+    stuck = need.select("gid", key).join(done, ["gid", key], "left_anti") if left else none
+    return done.withColumn("stuck", F.lit(False)).unionByName(stuck.withColumn("layer", F.lit(0).cast("long")).withColumn("stuck", F.lit(True)))
 
 
 def kahn(vertices: DataFrame, adjacency: DataFrame) -> DataFrame:
@@ -52,11 +57,10 @@ def kahn(vertices: DataFrame, adjacency: DataFrame) -> DataFrame:
 
     A vertex on a cycle or behind one is ``stuck``, with layer 0.
     """
-    adjacency = cut(adjacency.groupBy("gid", "src", "dst").agg(F.count("*").alias("n")))
+    adjacency = stored(adjacency.groupBy("gid", "src", "dst").agg(F.count("*").alias("n")), "adjacency")
     counts = adjacency.groupBy("gid", F.col("dst").alias("v")).agg(F.sum("n").alias("n"))
     need = vertices.join(counts, ["gid", "v"], "left").select("gid", "v", F.coalesce("n", F.lit(0)).alias("need"))
-    done, stuck = _rounds(need, lambda f: adjacency.join(f.withColumnRenamed("v", "src"), ["gid", "src"]).groupBy("gid", F.col("dst").alias("v")).agg(F.sum("n").alias("less")), "v")
-    return done.withColumn("stuck", F.lit(False)).unionByName(stuck.withColumn("layer", F.lit(0).cast("long")).withColumn("stuck", F.lit(True)))
+    return _rounds(need, lambda f: adjacency.join(f.withColumnRenamed("v", "src"), ["gid", "src"]).groupBy("gid", F.col("dst").alias("v")).agg(F.sum("n").alias("less")), "v")
 
 
 def layers(d: Diagram) -> DataFrame:
@@ -65,21 +69,25 @@ def layers(d: Diagram) -> DataFrame:
     As ``kahn`` on the adjacency of operations, without forming it: an operation waits for its source
     nodes, a node for its makers. A node with many makers and users costs their sum and not their product.
     """
-    makers = cut(d.incidence.where("side = 't'").groupBy("gid", "node").agg(F.count("*").alias("left")))
-    used, made = d.incidence.where("side = 's'"), d.incidence.where("side = 't'")
+    wires = stored(d.incidence.select("gid", "edge", "side", "node"), "wires")
+    used, made = wires.where("side = 's'").drop("side"), wires.where("side = 't'").drop("side")
+    makers = stored(made.groupBy("gid", "node").agg(F.count("*").alias("makers")), "makers")
     waits = used.join(makers.select("gid", "node"), ["gid", "node"], "left_semi").groupBy("gid", "edge").agg(F.count("*").alias("n"))
     need = d.edges.select("gid", "edge").join(waits, ["gid", "edge"], "left").select("gid", "edge", F.coalesce("n", F.lit(0)).alias("need"))
-    state = {"nodes": makers}
+    several = makers.where("makers > 1")
+    state = {"partial": None if several.isEmpty() else several.select("gid", "node", F.lit(0).cast("long").alias("less")).limit(0)}
 
     def after(frontier: DataFrame) -> DataFrame:
-        less = made.join(frontier, ["gid", "edge"], "left_semi").groupBy("gid", "node").agg(F.count("*").alias("less"))
-        now = cut(state["nodes"].join(less, ["gid", "node"], "left").select("gid", "node", (F.col("left") - F.coalesce("less", F.lit(0))).alias("left")))
-        state["nodes"] = now.where("left > 0")
-        ready = now.where("left = 0")
+        reached = made.join(frontier, ["gid", "edge"], "left_semi")
+        if state["partial"] is None:  # every node has one maker
+            ready = reached.select("gid", "node")
+        else:
+            less = reached.groupBy("gid", "node").agg(F.count("*").alias("less")).unionByName(state["partial"]).groupBy("gid", "node").agg(F.sum("less").alias("less"))
+            now = cut(less.join(makers, ["gid", "node"]))
+            ready, state["partial"] = now.where("less = makers").select("gid", "node"), now.where("less < makers").select("gid", "node", "less")
         return used.join(ready, ["gid", "node"], "left_semi").groupBy("gid", "edge").agg(F.count("*").alias("less"))
 
-    done, stuck = _rounds(need, after, "edge")
-    return done.withColumn("stuck", F.lit(False)).unionByName(stuck.withColumn("layer", F.lit(0).cast("long")).withColumn("stuck", F.lit(True)))
+    return _rounds(need, after, "edge")
 
 
 def _term(rows: pd.DataFrame) -> Term:
@@ -92,16 +100,15 @@ def layers_of_small(d: Diagram) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("edge")
-        number = {e: i for i, e in enumerate(rows["edge"])}
         layer, stuck = _term(rows).layers()
-        return pd.DataFrame({"gid": rows["gid"], "edge": list(number), "layer": layer, "stuck": stuck})
+        return pd.DataFrame({"gid": rows["gid"], "edge": rows["edge"], "layer": layer, "stuck": stuck})
 
     return d.nested().groupBy("gid").applyInPandas(run, "gid long, edge long, layer long, stuck boolean")
 
 
 def layered_operations(d: Diagram) -> DataFrame:
-    """(gid, layer, edges): the operations of each layer, ascending. Those that are stuck stand in layer 0."""
-    return layers(d).groupBy("gid", "layer").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    """(gid, layer, pos, edge): the operations of each layer, ascending, with their places in it. Those that are stuck stand in layer 0."""
+    return indexed(layers(d).select("gid", "layer", "edge"), ["edge"], "pos", ("gid", "layer")).select("gid", "layer", "pos", "edge")
 
 
 def is_acyclic(d: Diagram) -> DataFrame:
@@ -110,16 +117,27 @@ def is_acyclic(d: Diagram) -> DataFrame:
     return d.sizes().select("gid").join(found, "gid", "left").select("gid", F.coalesce("acyclic", F.lit(True)).alias("acyclic"))
 
 
-def reachable(adjacency: DataFrame, start: DataFrame) -> DataFrame:
-    """(gid, v) of all that ``start`` leads to, itself included."""
-    seen = cut(start.select("gid", "v").distinct())
-    frontier = seen
+#: Frontiers that are kept apart before they are written as one.
+APART = 16
+
+
+def _spread(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows that ``step`` leads to from ``start``, itself included; a round writes only what is new."""
+    frontier = cut(start.distinct())
+    seen, kept = frontier, 1
     while not frontier.isEmpty():
-        frontier = cut(adjacency.join(frontier.withColumnRenamed("v", "src"), ["gid", "src"], "left_semi").select("gid", F.col("dst").alias("v")).distinct().join(seen, ["gid", "v"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
+        frontier = cut(step(frontier).distinct().join(seen, start.columns, "left_anti"))
+        seen, kept = seen.unionByName(frontier), kept + 1
+        if kept % APART == 0:
+            seen = cut(seen)
     return seen
 
 
+def reachable(adjacency: DataFrame, start: DataFrame) -> DataFrame:
+    """(gid, v) of all that ``start`` leads to, itself included."""
+    return _spread(start.select("gid", "v"), lambda f: adjacency.join(f.withColumnRenamed("v", "src"), ["gid", "src"], "left_semi").select("gid", F.col("dst").alias("v")))
+
+
 def morphism_problem(source: Diagram, target: Diagram, w: DataFrame, x: DataFrame) -> DataFrame:
     """(gid, problem): the first reason why ``w`` (gid, node, to) and ``x`` (gid, edge, to) are no morphism of diagrams."""
     same = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
@@ -155,16 +173,17 @@ def is_convex(d: Diagram, w: DataFrame, x: DataFrame) -> DataFrame:
     It is if it is one-to-one and no way between two of its nodes leaves it. Nodes are reached in two
     states, with only inner operations behind them or with an outer one.
     """
-    inner = x.select("gid", F.col("to").alias("edge")).distinct()
-    steps = d.incidence.where("side = 's'").select("gid", "edge", F.col("node").alias("src")).join(d.incidence.where("side = 't'").select("gid", "edge", F.col("node").alias("dst")), ["gid", "edge"])
-    steps = steps.join(inner.withColumn("inside", F.lit(True)), ["gid", "edge"], "left").select("gid", "src", "dst", F.col("inside").isNull().alias("out")).distinct()
-    steps = cut(steps)
+    inner = x.select("gid", F.col("to").alias("edge")).distinct().withColumn("inside", F.lit(True))
+    wires = stored(d.incidence.select("gid", "edge", "side", "node").join(inner, ["gid", "edge"], "left").select("gid", "edge", "side", "node", F.col("inside").isNull().alias("out")), "convex-wires")
+    used, made = wires.where("side = 's'").select("gid", F.col("node").alias("v"), "edge", "out"), wires.where("side = 't'").select("gid", "edge", F.col("node").alias("v"))
     start = w.select("gid", F.col("to").alias("v")).distinct().withColumn("left", F.lit(False))
-    seen = cut(start)
-    frontier = seen
-    while not frontier.isEmpty():
-        frontier = cut(steps.join(frontier.withColumnRenamed("v", "src"), ["gid", "src"]).select("gid", F.col("dst").alias("v"), (F.col("left") | F.col("out")).alias("left")).distinct().join(seen, ["gid", "v", "left"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
+
+    def step(frontier: DataFrame) -> DataFrame:
+        """First to the operations, then on to their targets: an operation with many legs costs their sum."""
+        crossed = used.join(frontier, ["gid", "v"]).select("gid", "edge", (F.col("left") | F.col("out")).alias("left")).distinct()
+        return made.join(crossed, ["gid", "edge"]).select("gid", "v", "left")
+
+    seen = _spread(start, step)
     back = seen.where("left").join(start.drop("left"), ["gid", "v"], "left_semi").select("gid").distinct().withColumn("leaves", F.lit(True))
     return is_monomorphism(w, x).join(back, "gid", "left").select("gid", (F.col("mono") & F.col("leaves").isNull()).alias("convex"))
 
@@ -183,20 +202,33 @@ def evaluate(d: Diagram, inputs: DataFrame, apply: Callable[[Column, Column], Co
     if not given.where("node IS NULL OR given IS NULL").isEmpty():
         raise ValueError("a value for each source is wanted")
     kind = inputs.schema["value"].dataType
-    memory = cut(d.nodes.select("gid", "node").join(given.groupBy("gid", "node").agg(F.max_by("value", "pos").alias("value")), ["gid", "node"], "left").select("gid", "node", F.coalesce("value", default).cast(kind).alias("value")))
+    # what each layer has written; a round reads of it only the nodes that it wants
+    first = F.lit(-1).cast("long").alias("layer")
+    memory = [cut(given.select("gid", "node", first, first.alias("edge"), "pos", F.col("value").cast(kind).alias("value")))]
+
+    def held(nodes: DataFrame) -> DataFrame:
+        """``nodes`` (gid, node, ...) with the ``value`` that stands there."""
+        wanted = nodes.select("gid", "node").distinct()
+        at = reduce(DataFrame.unionByName, memory).join(wanted, ["gid", "node"], "left_semi")
+        last = at.groupBy("gid", "node").agg(F.max_by(F.struct("value"), F.struct("layer", "edge", "pos")).alias("at"))
+        return nodes.join(last, ["gid", "node"], "left").withColumn("value", F.when(F.col("at").isNull(), default.cast(kind)).otherwise(F.coalesce("at.value", default.cast(kind)))).drop("at")
+
+    wires = stored(d.incidence, "eval-wires")
+    used, made = wires.where("side = 's'"), wires.where("side = 't'")
+    arity = made.groupBy("gid", "edge").agg(F.count("*").alias("n"))
     depth = (order.agg(F.max("layer")).first()[0] if not order.isEmpty() else -1) + 1
     for k in range(depth):
         ops = d.edges.join(order.where(F.col("layer") == k).select("gid", "edge"), ["gid", "edge"])
-        read = d.incidence.where("side = 's'").join(ops.select("gid", "edge"), ["gid", "edge"], "left_semi").join(memory, ["gid", "node"])
+        read = held(used.join(ops.select("gid", "edge"), ["gid", "edge"], "left_semi"))
         args = read.groupBy("gid", "edge").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("args"))
         none = F.array().cast(args.schema["args"].dataType)
         out = ops.join(args, ["gid", "edge"], "left").select("gid", "edge", apply(F.col("label"), F.coalesce("args", none)).alias("out"))
-        arity = d.incidence.where("side = 't'").groupBy("gid", "edge").agg(F.count("*").alias("n"))
         out = out.join(arity, ["gid", "edge"], "left").select("gid", "edge", F.when(F.size("out") != F.coalesce("n", F.lit(0)), F.raise_error(F.lit("an operation gave another number of values than it has targets"))).otherwise(F.col("out")).alias("out"))
-        written = out.select("gid", "edge", F.posexplode("out").alias("pos", "value")).join(d.incidence.where("side = 't'"), ["gid", "edge", "pos"])
-        last = written.groupBy("gid", "node").agg(F.max_by("value", F.struct("edge", "pos")).alias("new"), F.lit(True).alias("hit"))
-        memory = cut(memory.join(last, ["gid", "node"], "left").select("gid", "node", F.when(F.col("hit"), F.col("new")).otherwise(F.col("value")).cast(kind).alias("value")))
-    return d.interface.where("side = 't'").join(memory, ["gid", "node"]).select("gid", "pos", "value")
+        written = out.select("gid", "edge", F.posexplode("out").alias("pos", "value")).join(made, ["gid", "edge", "pos"])
+        memory.append(cut(written.select("gid", "node", F.lit(k).cast("long").alias("layer"), "edge", F.col("pos").cast("long").alias("pos"), F.col("value").cast(kind).alias("value"))))
+        if len(memory) % APART == 0:
+            memory = [cut(reduce(DataFrame.unionByName, memory).groupBy("gid", "node").agg(F.max(F.struct("layer", "edge", "pos", "value")).alias("m")).select("gid", "node", "m.*"))]
+    return held(d.interface.where("side = 't'")).select("gid", "pos", "value")
 
 
 def evaluate_small(d: Diagram, inputs: DataFrame, apply: Callable, default, kind: str) -> DataFrame:

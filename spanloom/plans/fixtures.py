@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.lineage import indexed
+from ..functions.lineage import indexed, stored
 from ..operators.diagram import INTERFACE, QUOTIENT, Diagram
 
 #: Ids of the kinds in ``trade`` follow each other in this order: kind letter, table, key.
@@ -32,21 +32,22 @@ def trade(spark: SparkSession, sf_dir: str, with_lines: bool = True) -> Diagram:
     """
     place = {k: i for i, (k, _, _) in enumerate(KINDS)}
     at = lambda kind, key: (F.col(key).cast("long") * 10 + place[kind])
-    line_rows = lines(spark, sf_dir) if with_lines else None
+    line_rows = stored(lines(spark, sf_dir), "lines") if with_lines else None
     read = lambda name: line_rows if name == "lineitem" else table(spark, sf_dir, name)
     kinds = [k for k in KINDS if with_lines or k[0] != "l"]
     zero = F.lit(0).cast("long").alias("gid")
-    nodes = reduce(DataFrame.unionByName, [read(t).select(zero, at(k, key or "line").alias("node"), F.lit(k).alias("label")) for k, t, key in kinds])
     makes = {"n": [("r", "n_regionkey")], "c": [("n", "c_nationkey")], "s": [("n", "s_nationkey")], "o": [("c", "o_custkey")], "l": [("o", "l_orderkey"), ("p", "l_partkey"), ("s", "l_suppkey")]}
-    edges, wires = [], []
+    nodes, edges, wires = [], [], []
     for k, t, key in kinds:
+        own = at(k, key or "line")
+        nodes.append(read(t).select(zero, own.alias("node"), F.lit(k).alias("label")))
         if k in makes:
-            own = at(k, key or "line")
             edges.append(read(t).select(zero, own.alias("edge"), F.lit(k).alias("label")))
-            wires.append(read(t).select(zero, own.alias("edge"), F.lit("t").alias("side"), F.lit(0).cast("long").alias("pos"), own.alias("node")))
-            wires += [read(t).select(zero, own.alias("edge"), F.lit("s").alias("side"), F.lit(i).cast("long").alias("pos"), at(a, b).alias("node")) for i, (a, b) in enumerate(makes[k])]
+            wire = lambda side, pos, node: F.struct(F.lit(side).alias("side"), F.lit(pos).cast("long").alias("pos"), node.alias("node"))
+            legs = F.explode(F.array(wire("t", 0, own), *[wire("s", i, at(a, b)) for i, (a, b) in enumerate(makes[k])]))
+            wires.append(read(t).select(zero, own.alias("edge"), legs.alias("w")).select("gid", "edge", "w.*"))
     union = lambda dfs: reduce(DataFrame.unionByName, dfs)
-    return Diagram(nodes, union(edges), union(wires), spark.createDataFrame([], INTERFACE), spark.createDataFrame([], QUOTIENT))
+    return Diagram(union(nodes), union(edges), union(wires), spark.createDataFrame([], INTERFACE), spark.createDataFrame([], QUOTIENT))
 
 
 def chain(spark: SparkSession, sf_dir: str) -> Diagram:
