@@ -16,10 +16,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.finite import Labels
 from ..functions.lineage import cut, indexed
+from ..functions.ragged import Ragged
 from ..plans.term import Term
 from .components import LabelConflict, push_labels, quotient_map
 
@@ -40,6 +41,44 @@ def _shift(df: DataFrame, by: DataFrame, **columns: str) -> DataFrame:
     return out.withColumns({c: (F.col(c) + F.coalesce(F.col(n), F.lit(0))).cast("long") for c, n in columns.items()}).select(*df.columns)
 
 
+@dataclass(frozen=True)
+class Operations:
+    """A batch of operations by columns: a label, a list of source types and one of target types for each."""
+
+    labels: Labels
+    sources: Ragged
+    targets: Ragged
+
+    @staticmethod
+    def new(labels: Labels, sources: Ragged, targets: Ragged) -> Operations | None:
+        """None if the three are not of one length."""
+        return Operations(labels, sources, targets) if labels.n == sources.n == targets.n else None
+
+    @staticmethod
+    def singleton(spark: SparkSession, label, source: Labels, target: Labels) -> Operations:
+        return Operations(Labels.singleton(spark, label), Ragged.singleton(source.table), Ragged.singleton(target.table))
+
+    def __len__(self) -> int:
+        return self.labels.n
+
+    def rows(self) -> DataFrame:
+        """(edge, label, src_types, tgt_types), in the order of ``edge`` when sorted."""
+        lists = lambda r, name: r.table.groupBy(F.col("seg").alias("edge")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias(name))
+        out = self.labels.table.select(F.col("i").alias("edge"), F.col("v").alias("label"))
+        for r, name in ((self.sources, "src_types"), (self.targets, "tgt_types")):
+            out = out.join(lists(r, name), "edge", "left")
+            out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
+        return out
+
+    def __iter__(self):
+        for r in self.rows().orderBy("edge").toLocalIterator():
+            yield r["label"], list(r["src_types"]), list(r["tgt_types"])
+
+    def tensor(self) -> Diagram:
+        """All side by side, as one diagram."""
+        return Diagram.from_operations(self.rows().withColumn("gid", F.lit(0).cast("long")))
+
+
 @dataclass(frozen=True)
 class Diagram:
     nodes: DataFrame
@@ -73,6 +112,16 @@ class Diagram:
         wires = indexed(placed.select("gid", "side", "node"), ["node"], "pos", ("gid", "side"))
         return Diagram(placed.select("gid", "node", "label"), operations.select("gid", "edge", "label"), placed.select("gid", "edge", "side", F.col("pos").cast("long").alias("pos"), "node"), wires.select("gid", "side", "pos", "node"), spark.createDataFrame([], QUOTIENT))
 
+    @staticmethod
+    def discrete(nodes: DataFrame) -> Diagram:
+        """Only nodes (gid, node, label)."""
+        return replace(Diagram.empty(nodes.sparkSession), nodes=nodes.select("gid", "node", "label"))
+
+    @staticmethod
+    def singletons(operations: DataFrame) -> Diagram:
+        """A diagram of one operation, on nodes of its own, for each row (gid, label, src_types, tgt_types)."""
+        return Diagram.from_operations(operations.select("gid", F.lit(0).cast("long").alias("edge"), "label", "src_types", "tgt_types"))
+
     @staticmethod
     def identity(nodes: DataFrame) -> Diagram:
         """Only wires: each node is a source and a target."""
@@ -184,6 +233,38 @@ class Diagram:
         """(gid, monogamous). A boundary that names a node twice is not; neither is a node that touches nothing."""
         return self.monogamous_nodes().groupBy("gid").agg(F.min("monogamous").alias("monogamous"))
 
+    # Building: rows are numbered behind what is there, diagram by diagram, in the order of ``seq``
+
+    def new_nodes(self, rows: DataFrame) -> tuple[Diagram, DataFrame]:
+        """With the nodes (gid, seq, label), and (gid, seq, node): where they are."""
+        made = cut(_shift(indexed(rows, ["seq"], "node", ("gid",)), cut(self.sizes()), node="n_nodes"))
+        return replace(self, nodes=self.nodes.unionByName(made.select("gid", "node", "label"))), made.select("gid", "seq", "node")
+
+    def new_edges(self, rows: DataFrame) -> tuple[Diagram, DataFrame]:
+        """With the operations (gid, seq, label, sources, targets) on nodes that are there, which is not checked, and (gid, seq, edge)."""
+        made = cut(_shift(indexed(rows, ["seq"], "edge", ("gid",)), cut(self.sizes()), edge="n_edges"))
+        legs = lambda side, c: made.select("gid", "edge", F.lit(side).alias("side"), F.posexplode(c).alias("pos", "node"))
+        wires = legs("s", "sources").unionByName(legs("t", "targets")).withColumn("pos", F.col("pos").cast("long"))
+        return replace(self, edges=self.edges.unionByName(made.select("gid", "edge", "label")), incidence=self.incidence.unionByName(wires)), made.select("gid", "seq", "edge")
+
+    def new_operations(self, rows: DataFrame) -> tuple[Diagram, DataFrame]:
+        """With the operations (gid, seq, label, src_types, tgt_types) on nodes of their own, each on its sources and then its targets, and (gid, seq, edge)."""
+        rows = cut(rows)
+        types = rows.select("gid", F.col("seq").alias("op"), F.posexplode(F.concat("src_types", "tgt_types")).alias("k", "label"))
+        grown, places = self.new_nodes(types.select("gid", F.struct("op", "k").alias("seq"), "label"))
+        lists = places.groupBy("gid", F.col("seq.op").alias("seq")).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq.k", "node"))), lambda x: x["node"]).alias("all"))
+        none, n = F.array().cast("array<bigint>"), F.size("src_types")
+        on = rows.join(lists, ["gid", "seq"], "left").withColumn("all", F.coalesce("all", none))
+        return grown.new_edges(on.select("gid", "seq", "label", F.slice("all", 1, n).alias("sources"), F.slice("all", n + 1, F.size("tgt_types")).alias("targets")))
+
+    def new_legs(self, rows: DataFrame) -> tuple[Diagram, DataFrame]:
+        """With a new node (gid, seq, edge, side, label) behind the other legs of an operation's side, and (gid, seq, node)."""
+        grown, places = self.new_nodes(rows.select("gid", "seq", "label"))
+        have = self.incidence.groupBy("gid", "edge", "side").agg(F.count("*").alias("n"))
+        legs = indexed(rows.join(places, ["gid", "seq"]), ["seq"], "pos", ("gid", "edge", "side")).join(have, ["gid", "edge", "side"], "left")
+        legs = legs.select("gid", "edge", "side", (F.col("pos") + F.coalesce("n", F.lit(0))).alias("pos"), "node")
+        return replace(grown, incidence=self.incidence.unionByName(legs)), places
+
     # Relabelling
 
     def map_nodes(self, f: Callable[[Column], Column]) -> Diagram:
@@ -219,8 +300,7 @@ class Diagram:
         to = kept.select("gid", "node", "new")
 
         def packed(rows: DataFrame, by: list[str]) -> DataFrame:
-            rank = F.row_number().over(W.partitionBy(*by).orderBy("pos")) - 1
-            return rows.join(to, ["gid", "node"]).withColumn("pos", rank.cast("long")).withColumn("node", F.col("new"))
+            return indexed(rows.join(to, ["gid", "node"]).withColumnRenamed("pos", "was"), ["was"], "pos", tuple(by)).withColumn("node", F.col("new"))
 
         pairs = self.quotient
         for c in ("a", "b"):

@@ -111,9 +111,9 @@ def layered_operations(d: Diagram) -> DataFrame:
     return indexed(layers(d).select("gid", "layer", "edge"), ["edge"], "pos", ("gid", "layer")).select("gid", "layer", "pos", "edge")
 
 
-def is_acyclic(d: Diagram) -> DataFrame:
-    """(gid, acyclic). Cycles are of operations through nodes; a diagram without operations has none."""
-    found = layers(d).groupBy("gid").agg((~F.max("stuck")).alias("acyclic"))
+def is_acyclic(d: Diagram, small: bool = False) -> DataFrame:
+    """(gid, acyclic). Cycles are of operations through nodes; a diagram without operations has none. ``small`` takes one task a diagram, however deep."""
+    found = (layers_of_small(d) if small else layers(d)).groupBy("gid").agg((~F.max("stuck")).alias("acyclic"))
     return d.sizes().select("gid").join(found, "gid", "left").select("gid", F.coalesce("acyclic", F.lit(True)).alias("acyclic"))
 
 

@@ -101,15 +101,8 @@ def layer_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.layers_of_small(fixtures.chain(spark, sf_dir))
 
 
-@query(TRADE + ", t AS (SELECT node, edge FROM inc WHERE side = 't'), v AS (SELECT node AS v, CAST(CASE label WHEN 'r' THEN 0 WHEN 'n' THEN 1 WHEN 'o' THEN 3 WHEN 'c' THEN 2 WHEN 's' THEN 2 ELSE 0 END AS BIGINT) AS layer FROM nodes WHERE label <> 'l') SELECT v, layer, FALSE AS stuck FROM v")
+@query(TRADE + "SELECT node AS v, CAST(CASE label WHEN 'n' THEN 1 WHEN 'c' THEN 2 WHEN 's' THEN 2 WHEN 'o' THEN 3 WHEN 'l' THEN 4 ELSE 0 END AS BIGINT) AS layer, FALSE AS stuck FROM nodes")
 def kahn_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fixtures.trade(spark, sf_dir, with_lines=False)
-    return traverse.kahn(d.nodes.select("gid", F.col("node").alias("v")), traverse.node_adjacency(d)).drop("gid")
-
-
-@query()
-def kahn_nodes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``kahn_nodes``, over the full trade diagram: lines wait for an order, a part and a supplier."""
     d = fixtures.trade(spark, sf_dir)
     return traverse.kahn(d.nodes.select("gid", F.col("node").alias("v")), traverse.node_adjacency(d)).drop("gid")
 
@@ -198,9 +191,10 @@ def sort_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.sort_by(event_array(spark, sf_dir, CENTS), event_array(spark, sf_dir, "user_id"))
 
 
-@query(EVENTS + "SELECT a.i, b.cents AS v FROM e a JOIN e b ON b.i = a.user_id % 97")
+@query(EVENTS + "SELECT a.i, b.cents AS v FROM e a JOIN e b ON b.i = (a.i * 7 + 3) % (SELECT count(*) FROM e)")
 def gather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arrays.gather(event_array(spark, sf_dir, CENTS), event_array(spark, sf_dir, "user_id % 97"))
+    a = cut(event_array(spark, sf_dir, CENTS))
+    return arrays.gather(a, spread(spark, a.count(), 7, 3).table)
 
 
 LAST = ", w AS (SELECT user_id AS k, arg_max(cents, i) AS v FROM e GROUP BY 1)"
@@ -245,17 +239,8 @@ def spread(spark: SparkSession, n: int, factor: int = 7, shift: int = 0) -> Fini
     return FiniteFunction(spark.range(n).select(F.col("id").alias("i"), ((F.col("id") * factor + shift) % n).alias("v")), n, n)
 
 
-@query(SIZES + ", f AS (SELECT i, CAST(coalesce(sum(v) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a, v AS n FROM s), x AS (SELECT y.i, f.a, unnest(range(f.n)) AS p FROM (SELECT range AS i, (range * 5 + 1) % 100 AS k FROM range(200)) y JOIN f ON f.i = y.k) SELECT row_number() OVER (ORDER BY i, p) - 1 AS i, a + p AS v FROM x")
+@query(SIZES + ", f AS (SELECT i, CAST(coalesce(sum(v) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a, v AS n FROM s), x AS (SELECT y.i, f.a, unnest(range(f.n)) AS p FROM (SELECT i, (i * 5 + 1) % (SELECT count(*) FROM s) AS k FROM s) y JOIN f ON f.i = y.k) SELECT row_number() OVER (ORDER BY i, p) - 1 AS i, a + p AS v FROM x")
 def injections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sizes_of_orders(spark, sf_dir)
-    sizes = FiniteFunction(s, s.count(), 0)
-    picks = spark.range(200).select(F.col("id").alias("i"), ((F.col("id") * 5 + 1) % 100).alias("v"))
-    return sizes.injections(FiniteFunction(picks, 200, sizes.source)).table
-
-
-@query()
-def injections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``injections``, with every order picked."""
     s = sizes_of_orders(spark, sf_dir)
     sizes = FiniteFunction(s, s.count(), 0)
     return sizes.injections(spread(spark, sizes.source, 5, 1)).table
@@ -269,32 +254,15 @@ def converse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts_of_orders(spark, sf_dir).converse().table
 
 
-@query(PARTS + ", c AS (SELECT v AS seg, row_number() OVER (PARTITION BY v ORDER BY seg, pos) - 1 AS pos, seg AS v FROM x), y AS (SELECT x.seg, x.pos AS p, c.pos AS q, c.v FROM x JOIN c ON x.v = c.seg WHERE x.seg % 20 = 0) SELECT seg // 20 AS seg, row_number() OVER (PARTITION BY seg ORDER BY p, q) - 1 AS pos, v FROM y")
+@query(PARTS + ", c AS (SELECT v AS seg, row_number() OVER (PARTITION BY v ORDER BY seg, pos) - 1 AS pos, seg AS v FROM x), y AS (SELECT x.seg, x.pos AS p, c.pos AS q, c.v FROM x JOIN c ON x.v = c.seg) SELECT seg, row_number() OVER (PARTITION BY seg ORDER BY p, q) - 1 AS pos, v FROM y")
 def flatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders that share a part, for every twentieth order."""
-    r = parts_of_orders(spark, sf_dir)
-    n = -(-r.n // 20)
-    some = r.map_indexes(FiniteFunction(spark.range(n).select(F.col("id").alias("i"), (F.col("id") * 20).alias("v")), n, r.n))
-    return some.flatmap(r.converse()).table
-
-
-@query()
-def flatmap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that share a part, for every order."""
     r = parts_of_orders(spark, sf_dir)
     return r.flatmap(r.converse()).table
 
 
-@query(PARTS + "SELECT i AS seg, pos, v FROM x JOIN (SELECT range AS i, (range * 3) % 500 AS k FROM range(1000)) y ON x.seg = y.k")
+@query(PARTS + "SELECT i AS seg, pos, v FROM x JOIN (SELECT seg AS i, seg * 7 % (SELECT count(*) FROM o) AS k FROM o) y ON x.seg = y.k")
 def map_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = parts_of_orders(spark, sf_dir)
-    f = spark.range(1000).select(F.col("id").alias("i"), (F.col("id") * 3 % 500).alias("v"))
-    return r.map_indexes(FiniteFunction(f, 1000, r.n)).table
-
-
-@query()
-def map_indexes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``map_indexes``, over all orders."""
     r = parts_of_orders(spark, sf_dir)
     return r.map_indexes(spread(spark, r.n)).table
 
@@ -316,17 +284,9 @@ def map_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.map_labels(Labels(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("v")), r.target)).table
 
 
-@query(PARTS + "SELECT v, count(*) AS n FROM x JOIN (SELECT range * 2 AS k FROM range(100)) ON k = seg GROUP BY 1")
+@query(PARTS + "SELECT v, count(*) AS n FROM x GROUP BY 1")
 def relative_indegree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = parts_of_orders(spark, sf_dir)
-    f = FiniteFunction(spark.range(100).select(F.col("id").alias("i"), (F.col("id") * 2).alias("v")), 100, r.n)
-    keys, counts = r.sparse_relative_indegree(f)
-    return keys.join(counts.withColumnRenamed("v", "n"), "i").select("v", "n")
-
-
-@query()
-def relative_indegree_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``relative_indegree``, over all orders."""
+    """How often each part is in an order, all orders taken, in another order."""
     r = parts_of_orders(spark, sf_dir)
     keys, counts = r.sparse_relative_indegree(spread(spark, r.n))
     return keys.join(counts.withColumnRenamed("v", "n"), "i").select("v", "n")
@@ -347,20 +307,13 @@ def quotient_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.blocks(spark, sf_dir).quotiented()[0].nodes.drop("gid")
 
 
-@query("""WITH RECURSIVE l AS (SELECT c_custkey AS a, c_nationkey + 1000000 AS b FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT n_nationkey + 1000000, n_regionkey + 2000000 FROM nation WHERE n_nationkey % 3 = 0),
-u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(id, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id WHERE r.c < u.b) SELECT id, min(c) AS root FROM r GROUP BY 1""")
-def components_of_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("long").alias("a"), (F.col("c_nationkey") + 1000000).cast("long").alias("b"))
-    b = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select((F.col("n_nationkey") + 1000000).cast("long").alias("a"), (F.col("n_regionkey") + 2000000).cast("long").alias("b"))
-    return components.least_members(a.unionByName(b))
-
-
 PLACE = 10**15
 
 
-@query()
-def components_of_places_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``components_of_places``, over all customers and nations, whose ids stay apart at any number of customers."""
+@query(f"""WITH p AS (SELECT c_custkey::BIGINT AS id, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT n_nationkey + {PLACE}, n_regionkey FROM nation
+UNION ALL SELECT DISTINCT n_regionkey + {2 * PLACE}, n_regionkey FROM nation) SELECT CAST(id AS BIGINT) AS id, CAST(min(id) OVER (PARTITION BY r) AS BIGINT) AS root FROM p""")
+def components_of_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, nations and regions, joined as they belong together; ids of kinds stay apart at any number of customers."""
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("a"), (F.col("c_nationkey").cast("long") + PLACE).alias("b"))
     b = table(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("long") + PLACE).alias("a"), (F.col("n_regionkey").cast("long") + 2 * PLACE).alias("b"))
     return components.least_members(a.unionByName(b))

@@ -197,8 +197,10 @@ class Term:
         if any(not 0 <= x < len(self.nodes) for x in gone):
             raise IndexError("no such node")
         number: list[int | None] = []
+        kept = 0
         for i in range(len(self.nodes)):
-            number.append(None if i in gone else i - sum(x < i for x in gone))
+            number.append(None if i in gone else kept)
+            kept += i not in gone
         at = lambda xs: [number[x] for x in xs if number[x] is not None]
         pairs = [(number[a], number[b]) for a, b in self.quotient_pairs if number[a] is not None and number[b] is not None]
         return Term([x for i, x in enumerate(self.nodes) if i not in gone], list(self.edges), [(at(s), at(t)) for s, t in self.adjacency], pairs, at(self.sources), at(self.targets)), number

@@ -1,4 +1,4 @@
-"""Queries over all rows, which have no SQL, against plain Python over sf0.001."""
+"""Queries over all rows against plain Python over sf0.001."""
 
 import itertools
 from collections import Counter
@@ -20,12 +20,12 @@ def run(spark, name):
     return sorted(tuple(r) for r in queries.QUERIES[name](spark, DIR).collect())
 
 
-def test_kahn_nodes_whole(spark):
+def test_kahn_nodes(spark):
     kinds = [("region", "r_regionkey", 0, 0), ("nation", "n_nationkey", 1, 1), ("customer", "c_custkey", 2, 2), ("supplier", "s_suppkey", 3, 2), ("part", "p_partkey", 4, 0), ("orders", "o_orderkey", 5, 3)]
     expected = [(key * 10 + place, layer, False) for table, column, place, layer in kinds for (key,) in rows(table, column)]
     lines = len(rows("lineitem", "l_orderkey"))
     assert lines > 5000
-    assert run(spark, "kahn_nodes_whole") == sorted(expected + [(i * 10 + 6, 4, False) for i in range(lines)])
+    assert run(spark, "kahn_nodes") == sorted(expected + [(i * 10 + 6, 4, False) for i in range(lines)])
 
 
 def parts_of_orders():
@@ -44,7 +44,7 @@ def listed(lists):
     return sorted((seg, pos, v) for seg, x in enumerate(lists) for pos, v in enumerate(x))
 
 
-def test_ragged_queries_whole(spark):
+def test_ragged_queries_over_all_rows(spark):
     parts = parts_of_orders()
     n = len(parts)
     assert n > 1000
@@ -52,20 +52,20 @@ def test_ragged_queries_whole(spark):
     for seg, x in enumerate(parts):
         for v in x:
             orders.setdefault(v, []).append(seg)
-    assert run(spark, "flatmap_whole") == listed([[o for v in x for o in orders[v]] for x in parts])
-    assert run(spark, "map_indexes_whole") == listed([parts[i * 7 % n] for i in range(n)])
+    assert run(spark, "flatmap") == listed([[o for v in x for o in orders[v]] for x in parts])
+    assert run(spark, "map_indexes") == listed([parts[i * 7 % n] for i in range(n)])
     counts = Counter(v for i in range(n) for v in parts[i * 7 % n])
-    assert run(spark, "relative_indegree_whole") == sorted(counts.items())
+    assert run(spark, "relative_indegree") == sorted(counts.items())
 
 
-def test_injections_whole(spark):
+def test_injections(spark):
     sizes = [len(x) for x in parts_of_orders()]
     starts = [0, *itertools.accumulate(sizes)]
     picks = [(i * 5 + 1) % len(sizes) for i in range(len(sizes))]
-    assert run(spark, "injections_whole") == list(enumerate(starts[k] + p for k in picks for p in range(sizes[k])))
+    assert run(spark, "injections") == list(enumerate(starts[k] + p for k in picks for p in range(sizes[k])))
 
 
-def test_components_of_places_whole(spark):
+def test_components_of_places(spark):
     joined = {n + queries.PLACE: r + 2 * queries.PLACE for n, r in rows("nation", "n_nationkey", "n_regionkey")}
     groups = {}
     for region in joined.values():
@@ -74,4 +74,4 @@ def test_components_of_places_whole(spark):
         groups[region].add(nation)
     for c, nation in rows("customer", "c_custkey", "c_nationkey"):
         groups[joined[nation + queries.PLACE]].add(c)
-    assert run(spark, "components_of_places_whole") == sorted((i, min(g)) for g in groups.values() for i in g)
+    assert run(spark, "components_of_places") == sorted((i, min(g)) for g in groups.values() for i in g)
