@@ -223,8 +223,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text).
 
     A-Z count as a-z. Null texts and texts without words have an empty set and link with nothing. Rows of
-    equal doc_id count as one document. A row without doc_id shares the component of the rows with its set;
-    where no such row has an id, its component_id is null and it is kept.
+    equal doc_id count as one document; ids may be of any type that orders. Texts of any length are shingled
+    whole, other columns are left out, an empty table gives no rows. A row without doc_id shares the component
+    of the rows with its set; where no such row has an id, its component_id is null and it is kept.
     """
     sigs = stored(signatures(docs), "neardup-sigs")
     classes = stored(sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "neardup-classes")

@@ -26,6 +26,7 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 @query
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for each row of ``pages``, in packages that are read back. A null html is an empty payload; equal rows each give a record; an empty table gives no rows."""
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
     back = warc.read(warc.write(pages, fresh(spark, "warc")), payload=False)
@@ -45,31 +46,37 @@ FROM d
 
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each row of ``documents``; see ``mixing.taken`` for nulls, empty and long texts, repeats and clashing names."""
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, measures and verdict of each row of ``documents``; see ``quality.rules``. A null or empty text fails the base rules; equal rows each give a row."""
     return quality.rules(table(spark, sf_dir, "documents"), PIECES, BYTE_BPE, public_tokenizers.PATTERN)
 
 
 @query
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each row of ``documents``; see ``sharding.documents`` for nulls, ties, repeats and long texts."""
     return sharding.documents(table(spark, sf_dir, "documents"))
 
 
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and their decoding of each row of ``documents``, as digests; see ``bpe.digests``. A null text counts as empty; equal rows each give a row."""
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
 @query
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text of ``documents`` as an image file that is read back, as digests; see ``tiff.digests``. A null text counts as empty; equal texts have equal values."""
     return tiff.digests(table(spark, sf_dir, "documents"))
 
 
 @query
 def op2_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near-duplicates of each row of ``documents``; see ``neardup.near_duplicates``. Null and empty texts link with nothing; rows of equal doc_id are one document."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -88,11 +95,13 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component
 
 @query
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of each row of ``documents``; see ``lattice.scores``. A null text is one token, the end; equal rows each give a row."""
     return lattice.scores(table(spark, sf_dir, "documents"), PIECES)
 
 
 @query
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without lines that stand in a chunk that occurs before; see ``linededup.dedup``. A null text stays null; rows of equal doc_id and text are one document."""
     return linededup.dedup(table(spark, sf_dir, "documents"))
 
 
@@ -101,4 +110,5 @@ ORACLES["op5_line_chunks"] = linededup.ORACLE
 
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices of licenses in ``documents``, and candidates that are none; see ``licenses.scan``. Texts without such words have no rows; equal rows each give theirs."""
     return licenses.scan(table(spark, sf_dir, "documents"))
