@@ -22,3 +22,6 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from spanloom.functions.lineage import release
+
+    release(session)
