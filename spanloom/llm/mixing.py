@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.lineage import indexed, prefix_sum, unfolded
+from ..functions.lineage import indexed, prefix_sum
 from . import common
 
 SHARDS, CAP, SEED = 16, 3, 20240229
@@ -115,29 +115,36 @@ def draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     n_blocks = F.greatest(F.ceil(F.col("source_size") / BLOCK_WORDS), F.least(F.col("n_rows"), F.lit(LEAST_BLOCKS))).cast("long")
     goals = common.stored(targets(sizes).withColumn("n_blocks", n_blocks), "mix-goals")
 
-    def placed(some: DataFrame) -> DataFrame:
+    def placed(some: DataFrame, table: DataFrame) -> DataFrame:
         at = F.floor(F.shiftrightunsigned("key", 11).cast("double") / F.lit(2.0**53) * F.col("n_blocks")).cast("long")
-        return common.looked_up(some, goals.drop("source"), "s_", "n_rows").withColumn("block", at).drop("n_rows")
+        return common.looked_up(some, table, "s_", "n_rows").withColumn("block", at).drop("n_rows")
 
-    here = common.stored(placed(rows), "mix-placed")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goals.select(F.col("s_").alias("g_"), "n_blocks", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
+    here = placed(rows, goals.select("s_", "n_blocks", "n_rows"))
     words = prefix_sum(here.groupBy("s_", "block").agg(F.sum("size").alias("words")), F.col("words"), ["block"], "before", ("s_",))
     begun = words.join(goal, F.col("s_") == F.col("g_")).where(F.col("before") < F.col("rest"))
     last = begun.groupBy(F.col("s_").alias("c_")).agg(F.max("block").alias("cut"), F.max_by(F.col("rest") - F.col("before"), "block").alias("left"))
     quotas = goal.join(last, F.col("g_") == F.col("c_"), "left").select(F.col("g_").alias("s_"), (F.col("n_blocks") * F.col("whole") + F.coalesce(F.col("cut") + 1, F.lit(0))).alias("quota"), "n_blocks", "whole", "cut", "left")
 
-    drawn = unfolded(leaves(quotas, shards, seed), F.col("n"), "p_").withColumn("at", F.col("start") + F.col("p_"))
-    drawn = drawn.select("s_", F.expr("at % n_blocks").alias("block"), F.expr("at div n_blocks").cast("int").alias("turn"), "shard", "whole", "cut", "left")
-    partial = (F.col("turn") == F.col("whole")) & (F.col("block") == F.col("cut"))
-    by_block = drawn.groupBy(F.col("s_").alias("b_s"), F.col("block").alias("b_b")).agg(F.sort_array(F.collect_list(F.struct("turn", "shard"))).alias("takes"), F.max(F.when(partial, F.col("left"))).alias("left"))
-    x = (placed(full) if keep else here).join(by_block, (F.col("s_") == F.col("b_s")) & (F.col("block") == F.col("b_b")), "left").drop("b_s", "b_b")
-    x = x.withColumn("takes", F.coalesce("takes", F.array().cast("array<struct<turn:int,shard:int>>")))
-    # a block that the last pass cuts holds few rows; those behind the cut are not taken in that pass
+    # a row finds its draws among the leaves of its source, one for each shard, so no row is dealt by its block
+    leaf = F.struct("start", (F.col("start") + F.col("n")).alias("end"), "shard")
+    each = leaves(quotas, shards, seed).groupBy(F.col("s_").alias("l_")).agg(F.collect_list(leaf).alias("leaves"), F.first("whole").alias("whole"), F.first("cut").alias("cut"), F.first("left").alias("left"))
+    plan = common.stored(goals.drop("source").join(each, F.col("s_") == F.col("l_"), "left").drop("l_"), "mix-plan")
+    x = placed(full if keep else rows, plan)
+
+    def take(turn: Column) -> Column:
+        """The draw of the row's block in a pass, in the one leaf that has it, or in none."""
+        at = turn * F.col("n_blocks") + F.col("block")
+        return F.transform(F.filter("leaves", lambda e: (e["start"] <= at) & (at < e["end"])), lambda e: F.struct(turn.cast("int").alias("turn"), e["shard"].alias("shard")))
+
+    drawn = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("whole")), take))
+    x = x.withColumn("takes", F.coalesce(drawn, F.array().cast("array<struct<turn:int,shard:int>>"))).withColumn("partial", F.coalesce(F.col("block") == F.col("cut"), F.lit(False))).drop("leaves")
+    # the block that the last pass cuts holds few rows; those behind the cut are not taken in that pass
     passed = W.partitionBy("s_", "block").orderBy("key", "size", "id")
     halfway = F.sum("size").over(passed.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size") / 2
-    some = x.where("left IS NOT NULL").withColumn("takes", F.when(halfway <= F.col("left"), F.col("takes")).otherwise(F.slice("takes", 1, F.size("takes") - 1)))
-    x = x.where("left IS NULL").unionByName(some)
+    some = x.where("partial").withColumn("takes", F.when(halfway <= F.col("left"), F.col("takes")).otherwise(F.slice("takes", 1, F.size("takes") - 1)))
+    x = x.where("NOT partial").unionByName(some)
     return x.select("id", "source", "size", "key", "block", "source_size", "target", F.col("takes.turn").alias("turns"), F.col("takes.shard").alias("shards"), *kept)
 
 
