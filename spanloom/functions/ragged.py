@@ -108,10 +108,17 @@ class Ragged:
         return Ragged(indexed(rows, order, "pos", ("seg",)).select("seg", "pos", "v"), n, target)
 
     def flatmap(self, other: Ragged) -> Ragged:
-        """Lists of lists run together: every value replaced by its list, order and repeats kept."""
-        inner = other.table.select(F.col("seg").alias("k_"), F.col("pos").alias("q_"), F.col("v").alias("w_"))
-        x = self.table.join(inner, F.col("v") == F.col("k_")).select("seg", F.col("pos").alias("p_"), "q_", F.col("w_").alias("v"))
-        return self._packed(x, ["p_", "q_"], self.n, other.target)
+        """Lists of lists run together: every value replaced by its list, order and repeats kept.
+
+        A list begins where those before it in its segment end, so only values are numbered, and what comes out,
+        which may be far more, is neither sorted nor kept.
+        """
+        sizes = other.table.groupBy(F.col("seg").alias("k_")).agg(F.count("*").alias("n_"))
+        at = self.table.join(sizes, F.col("v") == F.col("k_")).select("seg", "pos", "v", "n_")
+        at = prefix_sum(at, F.col("n_"), ["pos"], "s_", ("seg",)).select("seg", "s_", F.col("v").alias("was_"))
+        inner = other.table.select(F.col("seg").alias("k_"), F.col("pos").alias("q_"), F.col("v"))
+        x = at.join(inner, F.col("was_") == F.col("k_")).select("seg", (F.col("s_") + F.col("q_")).alias("pos"), "v")
+        return Ragged(x, self.n, other.target)
 
     def flatmap_sources(self, other: Ragged) -> Ragged:
         """``other`` has a segment for each value of this; they are merged by the segments of this."""

@@ -92,3 +92,19 @@ def test_functor_of_very_many_kinds(spark):
     assert image.edges.count() == n and image.nodes.count() == 4 * n
     assert image.edges.where("edge IN (3, 11999)").orderBy("edge").select("label").collect() == [("add -1",), ("add 11999",)]
     assert image.operations().select(F.concat_ws(",", F.concat("src_types", "tgt_types"))).distinct().collect() == [("w,w',w,w'",)]
+
+
+def test_flatmap_keeps_what_goes_in_and_not_what_comes_out(spark):
+    """One list of 4000 values stands in for each of 250: a million rows, none of which is kept."""
+    import pathlib
+
+    from spanloom.functions.lineage import run_dir
+
+    size = lambda: sum(f.stat().st_size for f in pathlib.Path(run_dir(spark).removeprefix("file:")).rglob("*") if f.is_file())
+    kept = lambda: size() + sum(f.stat().st_size for f in pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).rglob("part-*") if f.is_file())
+    outer = Ragged(spark.range(250).selectExpr("id % 2 AS seg", "id div 2 AS pos", "0L AS v"), 2, 1)
+    inner = Ragged(spark.range(4000).selectExpr("0L AS seg", "id AS pos", "id AS v"), 1, 4000)
+    before = kept()
+    out = outer.flatmap(inner).table
+    assert kept() - before < 1e6
+    assert out.where("pos % 4000 <> v OR pos >= 500000").isEmpty() and out.distinct().count() == 1_000_000
