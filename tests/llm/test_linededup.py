@@ -138,3 +138,27 @@ def test_lines_that_only_share_a_hash_stay(spark):
     left = linededup.repeats(linededup.chunks(docs), clash, Scratch(spark, "t")).collect()
     assert sorted((r["doc_id"], r["first"], r["last"]) for r in left) == [(i, 2, 3) for i in (1, 2, 3)]
     assert linededup.ambiguous(docs).isEmpty()
+
+
+@pytest.mark.parametrize("every", [1, 2, 4])
+def test_rolling_hash_cuts_blocks_in_the_query(spark, every, monkeypatch):
+    """The seams of blocks are those that the hash names; chunks of blocks and across seams are all chunks; and the query asks it."""
+    rows = [(i, text, i) for i, text in corpus(9, 40) if text.strip()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark long")
+    found = {}
+    for r in linededup.blocks(docs, 4 * every).collect():
+        found.setdefault(r["doc_id"], []).append([x["pos"] for x in r["l"]])
+    for i, text, _ in rows:
+        lines = [(k, hashlib.md5(x.encode()).hexdigest()) for k, x in enumerate(text.split("\n")) if x.strip()]
+        expected = [[]]
+        for k, (pos, h) in enumerate(lines):
+            if k and hashlib.md5((lines[k - 1][1] + h).encode()).digest()[0] % (4 * every) == 0:
+                expected.append([])
+            expected[-1].append(pos)
+        assert sorted(found[i]) == expected
+    key = lambda df: sorted((r["doc_id"], r["first"], r["last"], bytes(r["chunk"])) for r in df.collect())
+    assert key(linededup.chunks_by_block(linededup.blocks(docs, 4 * every), every)) == key(linededup.chunks(docs, every))
+    asked, rolled = [], linededup.rolled
+    monkeypatch.setattr(linededup, "rolled", lambda a, b, n: asked.append(n) or rolled(a, b, n))
+    linededup.dedup(docs, every=every)
+    assert 4 * every in asked
