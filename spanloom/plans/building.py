@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lineage
 from ..functions.finite import Labels
-from ..functions.lineage import cut, indexed
+from ..functions.lineage import by_key, cut, indexed
 from ..functions.ragged import Ragged
 from ..operators import functor, traverse
 from ..operators.diagram import Diagram, Operations
@@ -297,16 +297,21 @@ def formula(b: Builder) -> tuple[list[Var], list[Var]]:
     return [x, y], [(x + y) * (x - y), -((x & y) | (x ^ y)), ~x + (x << y), (x >> y) / y, q, r]
 
 
-def calculator(label: Column, a: Column) -> Column:
-    x, y = a[0], a[1]
-    two = {
-        "+": x + y, "-": x - y, "*": x * y, "/": F.expr("args[0] div args[1]"), "&": x.bitwiseAND(y), "|": x.bitwiseOR(y), "^": x.bitwiseXOR(y),
-        "<<": F.expr("shiftleft(args[0], int(args[1]))"), ">>": F.expr("shiftright(args[0], int(args[1]))"), "neg": -x, "~": F.bitwise_not(x),
-    }
-    out = F.when(label == "divmod", F.array(F.expr("args[0] div args[1]"), x % y))
-    for name, value in two.items():
-        out = out.when(label == name, F.array(value))
-    return out
+def calculator(label: str, args: list) -> list:
+    """Whole numbers as in SQL: a quotient is cut off towards 0, a remainder has the sign of the dividend, and of nothing comes nothing."""
+    if None in args:
+        return [None] * (2 if label == "divmod" else 1)
+    x, y = args[0], args[-1]
+    if label in ("/", "divmod"):
+        q = abs(x) // abs(y) * (1 if (x < 0) == (y < 0) else -1)
+        return [q, x - q * y] if label == "divmod" else [q]
+    return [SIMPLE[label](x, y)]
+
+
+SIMPLE = {
+    "+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "&": lambda x, y: x & y, "|": lambda x, y: x | y, "^": lambda x, y: x ^ y,
+    "<<": lambda x, y: x << y, ">>": lambda x, y: x >> y, "neg": lambda x, _: -x, "~": lambda x, _: ~x,
+}
 
 
 @query(
@@ -316,9 +321,10 @@ def calculator(label: Column, a: Column) -> Column:
 def variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A formula written with variables, its variables forgotten, evaluated for each customer in a diagram of its own."""
     term = forget_term(build(arithmetic(), formula), "Copy")
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("gid"), F.posexplode(F.array(F.col("c_nationkey").cast("long"), F.pmod("c_custkey", F.lit(5)) + 1)).alias("pos", "value"))
-    inputs = c.withColumn("pos", F.col("pos").cast("long"))
-    return traverse.evaluate(many(term, inputs.select("gid").distinct()), inputs, calculator, F.lit(0))
+    y = F.pmod("c_custkey", F.lit(5)) + 1
+    c = by_key(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("gid"), F.array(F.col("c_nationkey").cast("long"), y.cast("long")).alias("xy")), "gid")
+    inputs = c.select("gid", F.posexplode("xy").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
+    return traverse.evaluate_small(many(term, c.select("gid").distinct()), inputs, calculator, 0, "long")
 
 
 @query("WITH n AS (SELECT o_custkey AS gid, count(*) AS n FROM orders GROUP BY 1) SELECT gid, n > 1 AS stays, CASE WHEN n > 1 THEN n + 1 ELSE 1 END AS nodes FROM n")
